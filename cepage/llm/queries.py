@@ -1,4 +1,104 @@
-"""Queries of the subpackage."""
+"""Queries of the subpackage over the project's tables, and their SQL where it can be given."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cepage.functions import normalise as N
+from cepage.llm import components, hamming, overlap
+from cepage.sources.tables import held_images, table
+
+#: Most bits in which the hashes of two near-duplicate images differ.
+NEAR = {"dhash": 4, "perceptual_hash": 6}
+
+
+def _confirmed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different held images whose candidate was confirmed."""
+    held = held_images(table(spark, sf_dir, "image_record"))
+    confirmed = (
+        table(spark, sf_dir, "review_decision")
+        .where(N.folded(F.col("decision")).isin("confirmed_same_source", "confirmed_related"))
+        .select(N.uuid_text(F.col("candidate_pair_id")).alias("pair"))
+    )
+    links = table(spark, sf_dir, "candidate").select(*(N.uuid_text(F.col(c)).alias(k) for k, c in (("pair", "candidate_pair_id"), ("a", "image_id_a"), ("b", "image_id_b"))))
+    links = links.where("a <> b").join(confirmed, "pair", "left_semi")
+    for end in ("a", "b"):
+        links = links.join(held.withColumnRenamed("image_id", end), end, "left_semi")
+    return links.select("a", "b")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = components.group_links(_confirmed_links(spark, sf_dir))
+    return groups.select(F.col("node").alias("image_id"), F.col("component").alias("group_id_assigned"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = held_images(table(spark, sf_dir, "image_record"), **{k: N.hash64(F.col(k)) for k in NEAR})
+    pairs, members = hamming.near_duplicates(images, "image_id", {k: k for k in NEAR}, NEAR)
+    return hamming.expand_pairs(pairs, members).toDF("image_id_a", "image_id_b")
+
+
+def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = held_images(
+        table(spark, sf_dir, "image_record"),
+        split=N.split_name(F.col("split")),
+        digest=N.digest256(F.col("sha256")),
+        h=N.hash64(F.col("perceptual_hash")),
+        source_dataset=F.col("source_dataset"),
+    )
+    return images.withColumnRenamed("image_id", "id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap.cross_split_overlaps(_split_records(spark, sf_dir), NEAR["perceptual_hash"])
+    return found.select(F.least("eval_id", "train_id").alias("image_id_a"), F.greatest("eval_id", "train_id").alias("image_id_b"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _split_records(spark, sf_dir)
+    return overlap.overlap_report(records, overlap.cross_split_overlaps(records, NEAR["perceptual_hash"]), ["split", "source_dataset"])
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_report": p4_report}
+
+_BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)"
+
+
+def _sql_uuid(c: str) -> str:
+    t = f"lower(trim({c}, {_BLANKS}))"
+    h = f"replace(translate({t}, '{{}}()-', ''), 'urn:uuid:', '')"
+    canonical = "||'-'||".join(f"substr({h},{a},{n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"CASE WHEN regexp_full_match({h}, '[0-9a-f]{{32}}') THEN {canonical} WHEN {t} <> '' THEN {t} END"
+
+
+def _sql_hash(c: str) -> str:
+    t = f"regexp_replace(lower(trim({c}, {_BLANKS})), '^0x', '')"
+    return f"CASE WHEN regexp_full_match({t}, '0*[0-9a-f]{{1,16}}') THEN CAST(concat('0x', right(repeat('0', 16) || {t}, 16)) AS UBIGINT) END"
+
+
+_SPLIT_SQL = f"""CASE WHEN lower(trim(split, {_BLANKS})) IN ('train', 'training') THEN 'train'
+  WHEN lower(trim(split, {_BLANKS})) IN ('validation', 'valid', 'val', 'dev') THEN 'validation'
+  WHEN lower(trim(split, {_BLANKS})) IN ('test', 'testing') THEN 'test' END"""
+_DIGEST = f"regexp_replace(lower(trim(sha256, {_BLANKS})), '^(sha256:|0x)', '')"
+_HELD_SQL = f"""held AS (SELECT id, max(dh) AS dh, max(ph) AS ph, max(sha) AS sha, max(split) AS split, max(src) AS source_dataset, max(gid) AS gid FROM (
+  SELECT {_sql_uuid('image_id')} AS id, {_sql_hash('dhash')} AS dh, {_sql_hash('perceptual_hash')} AS ph, {_SPLIT_SQL} AS split, source_dataset AS src,
+    CASE WHEN regexp_full_match({_DIGEST}, '[0-9a-f]{{64}}') THEN {_DIGEST} END AS sha, {_sql_uuid('group_id')} AS gid
+  FROM image_record WHERE coalesce(lower(trim(validation_status)), '') <> 'deleted') WHERE id IS NOT NULL GROUP BY id)"""
+_OVERLAP_SQL = f"""WITH {_HELD_SQL}, overlap AS (SELECT e.id AS eval_id, t.id AS train_id FROM held e JOIN held t ON e.split IN ('validation', 'test') AND t.split = 'train'
+  AND (e.sha = t.sha OR bit_count(xor(e.ph, t.ph)) <= 6)) """
+
+ORACLES = {
+    "p1_found": f"""WITH RECURSIVE {_HELD_SQL}, link AS (SELECT DISTINCT a, b FROM (
+  SELECT {_sql_uuid('candidate_pair_id')} AS pair, {_sql_uuid('image_id_a')} AS a, {_sql_uuid('image_id_b')} AS b FROM candidate)
+  WHERE a <> b AND a IN (SELECT id FROM held) AND b IN (SELECT id FROM held) AND pair IN (SELECT {_sql_uuid('candidate_pair_id')} FROM review_decision
+  WHERE lower(trim(decision)) IN ('confirmed_same_source', 'confirmed_related'))),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS node, a AS other FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT node AS image_id, min(other) AS group_id_assigned FROM reach GROUP BY node""",
+    "p2_found": f"""WITH {_HELD_SQL} SELECT a.id AS image_id_a, b.id AS image_id_b FROM held a JOIN held b ON a.id < b.id
+  AND (bit_count(xor(a.dh, b.dh)) <= 4 OR bit_count(xor(a.ph, b.ph)) <= 6)""",
+    "p4_found": _OVERLAP_SQL + "SELECT DISTINCT least(eval_id, train_id) AS image_id_a, greatest(eval_id, train_id) AS image_id_b FROM overlap",
+    "p4_report": _OVERLAP_SQL + """SELECT split, source_dataset, count(*) AS n_records, count(CASE WHEN id IN (SELECT eval_id FROM overlap) THEN 1 END) AS n_overlapping
+  FROM held WHERE split IN ('validation', 'test') GROUP BY split, source_dataset""",
+}
