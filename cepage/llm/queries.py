@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
-from cepage.llm import components, hamming, overlap
+from cepage.llm import bpe, components, hamming, leakage, overlap
 from cepage.sources.tables import held_images, table
 
 #: Most bits in which the hashes of two near-duplicate images differ.
@@ -60,7 +60,15 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(records, overlap.cross_split_overlaps(records, NEAR["perceptual_hash"]), ["split", "source_dataset"])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_report": p4_report}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_report": p4_report, "p8_ids": p8_ids, "p9_found": p9_found}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)"
 
