@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
-from cepage.llm import bpe, components, hamming, leakage, overlap
+from cepage.llm import bpe, components, hamming, leakage, overlap, reading
 from cepage.sources.tables import held_images, table
 
 #: Most bits in which the hashes of two near-duplicate images differ.
@@ -68,7 +68,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_report": p4_report, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
+
+
+def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.coverage_ranks(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_report": p4_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)"
 

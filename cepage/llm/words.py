@@ -10,8 +10,8 @@ import regex
 # Tags that end a word; any other tag may stand within one.
 _BLOCK_TAG = regex.compile(r"</?(?:p|br|div|li|ul|ol|tr|td|th|table|thead|tbody|h[1-6]|hr|pre|blockquote|section|article|title|body|head|html)\b[^<>]*>", regex.I)
 _TAG = regex.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", regex.S)
-_BROKEN = regex.compile(r"(?<=[^\W_])(?:-|‐|‑|­)[^\S\n]*\r?[\n  \r]\s*(?=[^\W_])")
-_UNSEEN = regex.compile(r"[\p{M}\p{Cf}︀-️]+")
+_BROKEN = regex.compile(r"(?<=[^\W_])(?:-|\u2010|\u2011|\u00ad)[^\S\n]*\r?[\n\u2028\u2029\r]\s*(?=[^\W_])")
+_UNSEEN = regex.compile(r"[\p{M}\p{Cf}\ufe00-\ufe0f]+")
 _WORD = regex.compile(r"[^\W_]+(?:\x01[^\W_]+)*")
 
 
