@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that count as outer blanks.
-BLANKS = " \t\n\r\x0b\x0c ​﻿"
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u200b\ufeff"
 # Spellings of the three splits.
 SPLITS = {
     "train": ("train", "training"),
