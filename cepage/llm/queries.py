@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
-from cepage.llm import bpe, components, hamming, leakage, overlap, reading
-from cepage.sources.tables import held_images, table
+from cepage.llm import bpe, components, hamming, leakage, overlap, reading, sampling, splits
+from cepage.session import scratch_path
+from cepage.sources.tables import held_images, held_rows, table
 
 #: Most bits in which the hashes of two near-duplicate images differ.
 NEAR = {"dhash": 4, "perceptual_hash": 6}
+#: Share of the held images that an epoch (year of first listing) selects; years not named take the default.
+RATES: dict[int, float] = {}
+DEFAULT_RATE = 0.10
 
 
 def _confirmed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,33 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.expand_pairs(pairs, members).toDF("image_id_a", "image_id_b")
 
 
+def _grouped_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"group_id": N.uuid_text(F.col("group_id")), "class_name": N.label(F.col("class_name")), "split": N.split_name(F.col("split"))}
+    return held_images(table(spark, sf_dir, "image_record"), **fields)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    torn = splits.torn_components(_grouped_images(spark, sf_dir), "image_id", ["group_id"], "class_name", "split")
+    return torn.where(F.col("component").startswith("group_id:")).select(F.substring_index("component", ":", -1).alias("group_id"))
+
+
+def p3_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, _ = splits.assign_splits(_grouped_images(spark, sf_dir), "image_id", ["group_id"], "class_name", "split")
+    return assigned.select(F.col("id").alias("image_id"), "component", "class_name", "split", "status")
+
+
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = held_rows(table(spark, sf_dir, "image_record")).select("image_id", N.label(F.col("class_name")).alias("class_name"), F.year("ingested_at").alias("year"))
+    images = rows.groupBy("image_id").agg(F.max("class_name").alias("class_name"), F.min("year").alias("year"))
+    rate = F.lit(DEFAULT_RATE)
+    for year, share in RATES.items():
+        rate = F.when(F.col("year") == year, share).otherwise(rate)
+    path = scratch_path(spark, "registry")
+    sampling.register(images, "image_id", F.col("year"), rate, stratum="class_name").write.parquet(path)
+    chosen = sampling.select_sample(spark.read.parquet(path))
+    return chosen.select(F.col("id").alias("image_id"), F.col("stratum").alias("class_name"))
+
+
 def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = held_images(
         table(spark, sf_dir, "image_record"),
@@ -76,7 +107,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.coverage_ranks(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_report": p4_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_assign": p3_assign, "p7_sample": p7_sample, "p4_found": p4_found, "p4_report": p4_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)"
 
@@ -114,6 +145,7 @@ reach AS (SELECT a AS node, a AS other FROM edge UNION SELECT r.node, e.b FROM r
 SELECT node AS image_id, min(other) AS group_id_assigned FROM reach GROUP BY node""",
     "p2_found": f"""WITH {_HELD_SQL} SELECT a.id AS image_id_a, b.id AS image_id_b FROM held a JOIN held b ON a.id < b.id
   AND (bit_count(xor(a.dh, b.dh)) <= 4 OR bit_count(xor(a.ph, b.ph)) <= 6)""",
+    "p3_found": f"WITH {_HELD_SQL} SELECT gid AS group_id FROM held WHERE gid IS NOT NULL GROUP BY gid HAVING count(DISTINCT split) > 1",
     "p4_found": _OVERLAP_SQL + "SELECT DISTINCT least(eval_id, train_id) AS image_id_a, greatest(eval_id, train_id) AS image_id_b FROM overlap",
     "p4_report": _OVERLAP_SQL + """SELECT split, source_dataset, count(*) AS n_records, count(CASE WHEN id IN (SELECT eval_id FROM overlap) THEN 1 END) AS n_overlapping
   FROM held WHERE split IN ('validation', 'test') GROUP BY split, source_dataset""",
