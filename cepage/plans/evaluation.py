@@ -138,7 +138,7 @@ def p11_valid_probabilities(spark, sf):
     return predictions(spark, sf).select("experiment_id", "image_id", S.valid_probabilities(F.col("p"), CLASSES).alias("valid"))
 
 
-@query(_P + """, l AS (SELECT experiment_id, image_id, [probability_class_0, probability_class_1, probability_class_2, probability_class_3] AS p FROM pred WHERE probability_class_0 IS NOT NULL AND NOT isnan(probability_class_0 + probability_class_1 + probability_class_2 + probability_class_3))
+@query(_P + """, l AS (SELECT experiment_id, image_id, [probability_class_0, probability_class_1, probability_class_2, probability_class_3] AS p FROM pred WHERE isfinite(probability_class_0) AND isfinite(probability_class_1) AND isfinite(probability_class_2) AND isfinite(probability_class_3))
   SELECT experiment_id, image_id, (list_position(p, list_max(p)) - 1)::INT AS best FROM l""")
 def w09_argmax(spark, sf):
     rows = predictions(spark, sf).where(F.forall("p", lambda x: x.isNotNull() & ~F.isnan(x)))
