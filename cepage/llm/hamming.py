@@ -1,6 +1,6 @@
 """Near-duplicate records by generalised pigeonhole over 64-bit hashes.
 
-Bits that go together are grouped into eight blocks of eight, blocks into partitions, and each partition gets a
+Bits that go together are grouped into blocks (of eight bits, or fewer where more bits may differ), blocks into partitions, and each partition gets a
 threshold of its own, found by dynamic programming on estimated candidate counts: any two hashes within the total
 threshold agree, up to its own threshold, in at least one partition. Both the number of partitions and the
 thresholds follow the data, so the probes grow and the candidates shrink as the collection does.
@@ -28,11 +28,20 @@ from cepage.functions.frames import require_columns
 from cepage.llm.bits import by_bucket, flip_masks, ranges
 from cepage.session import cut, parallelism
 
-BLOCKS, WIDTH = 8, 8
+#: A block's bits, by the most bits that may differ: a partition can be no finer than its blocks.
+WIDTHS = ((7, 8), (15, 4), (31, 2))
 #: Seconds that a copy in the shuffle, a probe and a candidate take; only their ratios matter.
 COPY_S, PROBE_S, CANDIDATE_S = 1.5e-6, 8e-8, 1.2e-8
 
 
+def block_width(total: int) -> int:
+    """Bits of a block for hashes that differ in at most ``total`` bits."""
+    for most, width in WIDTHS:
+        if 0 <= total <= most:
+            return width
+    raise ValueError(f"hashes may differ in 0 to {WIDTHS[-1][0]} bits")
+
+
 def _bits(h: np.ndarray) -> np.ndarray:
     """Bits of hashes, one row each, lowest bit first."""
     return np.unpackbits(np.ascontiguousarray(h.astype("<i8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -52,14 +61,14 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"kind": kind, "i": np.append(i, -1), "j": np.append(j, -1), "v": np.append(s[i, j], rows[kind])})
 
 
-def _histograms(order: dict[str, np.ndarray]):
+def _histograms(order: dict[str, np.ndarray], width: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {k: np.zeros((BLOCKS, 256)) for k in order}
+        sums = {k: np.zeros((64 // width[k], 1 << width[k])) for k in order}
         for batch in batches:
             for kind, part in batch.groupby("kind"):
-                g = permute(part["h"].to_numpy(), order[kind])
-                for b in range(BLOCKS):
-                    sums[kind][b] += np.bincount((g >> np.uint64(WIDTH * b)).astype(np.uint8), minlength=256)
+                g, w = permute(part["h"].to_numpy(), order[kind]), width[kind]
+                for b in range(64 // w):
+                    sums[kind][b] += np.bincount(((g >> np.uint64(w * b)) & np.uint64((1 << w) - 1)).astype(np.int64), minlength=1 << w)
         for kind, s in sums.items():
             b, v = np.nonzero(s)
             if len(b):
@@ -68,8 +77,8 @@ def _histograms(order: dict[str, np.ndarray]):
     return run
 
 
-def correlated_order(both: np.ndarray, rows: int) -> np.ndarray:
-    """Bit positions such that each eight successive ones go together as much as greedy grouping finds."""
+def correlated_order(both: np.ndarray, rows: int, width: int = 8) -> np.ndarray:
+    """Bit positions such that each ``width`` successive ones go together as much as greedy grouping finds."""
     p = np.diag(both) / max(rows, 1)
     cov = both / max(rows, 1) - np.outer(p, p)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
@@ -79,7 +88,7 @@ def correlated_order(both: np.ndarray, rows: int) -> np.ndarray:
     while free:
         group = [max(free, key=lambda b: (r[b, free].max(), -b))]
         free.remove(group[0])
-        while len(group) < WIDTH:
+        while len(group) < width:
             group.append(max(free, key=lambda b: (r[b, group].sum(), -b)))
             free.remove(group[-1])
         order += group
@@ -111,10 +120,11 @@ class Part:
     blocks: int
     threshold: int
     subs: tuple[tuple[int, int], ...]
+    width: int
 
     @property
     def mask(self) -> int:
-        return ((1 << (WIDTH * self.blocks)) - 1) << (WIDTH * self.first)
+        return ((1 << (self.width * self.blocks)) - 1) << (self.width * self.first)
 
 
 def even_cuts(first: int, blocks: int, parts: int) -> tuple[tuple[int, int], ...]:
@@ -130,12 +140,14 @@ def allocate(histograms: np.ndarray, rows: int, total: int) -> list[Part]:
     pigeonhole asks for. The chance of two hashes to lie within t bits in a partition comes from the blocks' exact
     distance distributions, folded together.
     """
-    distance = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :])
+    many, values = histograms.shape
+    width = values.bit_length() - 1
+    distance = np.bitwise_count(np.arange(values)[:, None] ^ np.arange(values)[None, :])
     share = histograms / np.maximum(histograms.sum(axis=1, keepdims=True), 1)
-    near = [np.bincount(distance.ravel(), weights=np.outer(s, s).ravel(), minlength=WIDTH + 1) for s in share]
+    near = [np.bincount(distance.ravel(), weights=np.outer(s, s).ravel(), minlength=width + 1) for s in share]
     best: tuple[float, list[Part]] = (math.inf, [])
-    for m in range(1, BLOCKS + 1):
-        groups = even_cuts(0, BLOCKS, m)
+    for m in range(2, many + 1):
+        groups = even_cuts(0, many, m)
         table: dict[int, tuple[float, list[Part]]] = {0: (0.0, [])}
         for first, blocks in groups:
             folded = np.ones(1)
@@ -147,9 +159,9 @@ def allocate(histograms: np.ndarray, rows: int, total: int) -> list[Part]:
                     more, chosen = cost, parts
                     if u:
                         subs = even_cuts(first, blocks, u)
-                        probes = sum(sum(math.comb(WIDTH * (blocks - n), e) for e in range(u)) for _, n in subs)
+                        probes = sum(sum(math.comb(width * (blocks - n), e) for e in range(u)) for _, n in subs)
                         more += rows * (u * COPY_S + probes * PROBE_S) + rows * rows / 2 * float(folded[:u].sum()) * CANDIDATE_S
-                        chosen = [*parts, Part(first, blocks, u - 1, subs)]
+                        chosen = [*parts, Part(first, blocks, u - 1, subs, width)]
                     if used + u not in after or more < after[used + u][0]:
                         after[used + u] = (more, chosen)
             table = after
@@ -166,6 +178,11 @@ class Plan:
     splits: dict[tuple[int, int, int], int]
 
 
+def tag_of(kind: int, part: int, sub: int) -> int:
+    """The upper fifteen bits of a bucket."""
+    return (kind << 10) | (part << 5) | sub
+
+
 def _copies(plans: dict[str, Plan], numbers: dict[str, int]):
     """A mapInArrow function: each class to its buckets. A bucket is kind, partition, sub-block, block pair, value."""
 
@@ -178,19 +195,21 @@ def _copies(plans: dict[str, Plan], numbers: dict[str, int]):
                     continue
                 for p, part in enumerate(plan.parts):
                     for s, (first, blocks) in enumerate(part.subs):
-                        value = (g >> np.uint64(WIDTH * first)) & np.uint64((1 << (WIDTH * blocks)) - 1)
-                        tag = (numbers[kind] * 8 + p) * 8 + s
+                        w = part.width
+                        value = (g >> np.uint64(w * first)) & np.uint64((1 << (w * blocks)) - 1)
+                        value = (value ^ (value >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
+                        tag = tag_of(numbers[kind], p, s)
                         ways = np.ones(len(g), np.int64)
                         for (b, v), n in {(k[1], k[2]): n for k, n in plan.splits.items() if k[0] == tag}.items():
-                            hot = ((g >> np.uint64(WIDTH * b)) & np.uint64(255)) == v
+                            hot = ((g >> np.uint64(w * b)) & np.uint64((1 << w) - 1)) == v
                             ways[hot] = np.maximum(ways[hot], n)
                         mixed = (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                         salt = (mixed % ways.astype(np.uint64)).astype(np.int64)
-                        for w in np.unique(ways):
-                            at = np.flatnonzero(ways == w)
-                            for other in range(int(w)):
+                        for n in np.unique(ways):
+                            at = np.flatnonzero(ways == n)
+                            for other in range(int(n)):
                                 lo, hi = np.minimum(salt[at], other), np.maximum(salt[at], other)
-                                bucket = (((tag << 20) | (lo << 10) | hi) << 32) | value[at].astype(np.int64)
+                                bucket = (((tag << 16) | (lo << 8) | hi) << 32) | value[at].astype(np.int64)
                                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(g[at].view(np.int64)), pa.array(salt[at].astype(np.int16))], ["bucket", "g", "salt"])
 
     return run
@@ -202,17 +221,20 @@ def _search(plans: dict[str, Plan], numbers: dict[str, int], chunk: int, block:
 
     def pairs_of(part: Part, s: int, total: int, earlier: list[Part], bucket: np.ndarray, g: np.ndarray, salt: np.ndarray):
         first, blocks = part.subs[s]
-        sub = np.uint64((1 << (WIDTH * blocks)) - 1) << np.uint64(WIDTH * first)
+        w = part.width
+        sub = np.uint64(((1 << (w * blocks)) - 1) << (w * first))
         rest = np.uint64(part.mask) & ~sub
-        width = WIDTH * (part.blocks - blocks)
-        below = np.uint64(part.mask) & ((np.uint64(1) << np.uint64(WIDTH * first)) - np.uint64(1)) if first else np.uint64(0)
+        width = w * (part.blocks - blocks)
+        below = np.uint64(part.mask & ((1 << (w * first)) - 1))
         above = rest & ~below
-        value = ((g & below) >> np.uint64(WIDTH * part.first)) | ((g & above) >> np.uint64(WIDTH * (part.first + blocks)))
+        value = (g & below) >> np.uint64(w * part.first)
+        if above:
+            value |= (g & above) >> np.uint64(w * (part.first + blocks))
         _, dense = np.unique(bucket, return_inverse=True)
         key = (dense.astype(np.uint64) << np.uint64(width)) | value
         order = np.argsort(key, kind="stable")
         key, g, salt, bucket = key[order], g[order], salt[order], bucket[order]
-        crossed = ((bucket >> 42) & 1023) != ((bucket >> 32) & 1023)
+        crossed = ((bucket >> 40) & 255) != ((bucket >> 32) & 255)
         for mask in flip_masks(width, part.threshold):
             if mask:
                 wanted = key ^ mask
@@ -227,11 +249,11 @@ def _search(plans: dict[str, Plan], numbers: dict[str, int], chunk: int, block:
                 ok = np.bitwise_count(x) <= total
                 ok &= ~crossed[i] | (salt[i] != salt[j])
                 i, j, x = i[ok], j[ok], x[ok]
-                keep = np.ones(len(x), bool)
+                keep = (x & sub) == 0
                 for other in earlier:
                     keep &= np.bitwise_count(x & np.uint64(other.mask)) > other.threshold
                 for f, n in part.subs[:s]:
-                    keep &= (x & (np.uint64((1 << (WIDTH * n)) - 1) << np.uint64(WIDTH * f))) != 0
+                    keep &= (x & np.uint64(((1 << (w * n)) - 1) << (w * f))) != 0
                 if keep.any():
                     yield g[i[keep]], g[j[keep]]
 
@@ -239,9 +261,9 @@ def _search(plans: dict[str, Plan], numbers: dict[str, int], chunk: int, block:
         for table in by_bucket(batches, "bucket", chunk):
             bucket, g = table.column("bucket").to_numpy(), table.column("g").to_numpy().view(np.uint64)
             salt = table.column("salt").to_numpy()
-            tags = bucket >> 52
+            tags = bucket >> 48
             for tag in np.unique(tags):
-                kind, p, s = kinds[int(tag) >> 6], (int(tag) >> 3) & 7, int(tag) & 7
+                kind, p, s = kinds[int(tag) >> 10], (int(tag) >> 5) & 31, int(tag) & 31
                 plan, at = plans[kind], tags == tag
                 for a, b in pairs_of(plan.parts[p], s, plan.total, plan.parts[:p], bucket[at], g[at], salt[at]):
                     a, b = restore(a, plan.order), restore(b, plan.order)
@@ -255,6 +277,7 @@ def make_plans(classes: DataFrame, totals: dict[str, int], max_bucket: int = 2_0
     shape = "kind string, i int, j int, v double"
     sums = lambda f: classes.select("kind", "h").mapInPandas(f, shape).groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).toPandas()
     moments = sums(_moments)
+    width = {kind: block_width(total) for kind, total in totals.items()}
     order, rows = {}, {}
     for kind in totals:
         m = moments[moments.kind == kind]
@@ -262,11 +285,11 @@ def make_plans(classes: DataFrame, totals: dict[str, int], max_bucket: int = 2_0
         both = np.zeros((64, 64))
         at = m[m.i >= 0]
         both[at.i, at.j] = both[at.j, at.i] = at.v
-        order[kind] = correlated_order(both, rows[kind])
-    counts = sums(_histograms(order))
+        order[kind] = correlated_order(both, rows[kind], width[kind])
+    counts = sums(_histograms(order, width))
     plans = {}
     for number, (kind, total) in enumerate(totals.items()):
-        h = np.zeros((BLOCKS, 256))
+        h = np.zeros((64 // width[kind], 1 << width[kind]))
         at = counts[counts.kind == kind]
         h[at.i, at.j] = at.v
         parts = allocate(h, rows[kind], total)
@@ -276,7 +299,7 @@ def make_plans(classes: DataFrame, totals: dict[str, int], max_bucket: int = 2_0
                 # A bucket's rows are at most those of its rarest block.
                 if all((h[b] > max_bucket).any() for b in range(first, first + blocks)):
                     b = min(range(first, first + blocks), key=lambda b: h[b].max())
-                    splits |= {((number * 8 + p) * 8 + s, b, int(v)): min(1000, math.ceil(h[b, v] / max_bucket)) for v in np.flatnonzero(h[b] > max_bucket)}
+                    splits |= {(tag_of(number, p, s), b, int(v)): min(255, math.ceil(h[b, v] / max_bucket)) for v in np.flatnonzero(h[b] > max_bucket)}
         plans[kind] = Plan(order[kind], parts, total, splits)
     return plans
 
