@@ -15,7 +15,8 @@ def uuid5(namespace: str, name: Column) -> Column:
     """Name-based UUID (version 5) of ``name`` under a namespace UUID."""
     raw = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(raw, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
-    return F.concat_ws("-", F.substring(raw, 1, 8), F.substring(raw, 9, 4), F.concat(F.lit("5"), F.substring(raw, 14, 3)), F.concat(variant, F.substring(raw, 18, 3)), F.substring(raw, 21, 12))
+    text = F.concat_ws("-", F.substring(raw, 1, 8), F.substring(raw, 9, 4), F.concat(F.lit("5"), F.substring(raw, 14, 3)), F.concat(variant, F.substring(raw, 18, 3)), F.substring(raw, 21, 12))
+    return F.when(name.isNotNull(), text)
 
 
 def pair_id(namespace: str, a: Column, b: Column) -> Column:

@@ -70,7 +70,7 @@ def reconcile(counts: DataFrame, expected: DataFrame, on: list[str]) -> DataFram
 
 def checks(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     """One row: for each named condition whether all rows hold it, and ``passed`` for all of them; true for no rows."""
-    row = df.agg(*(F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True)).alias(k) for k, c in named.items()))
+    row = df.agg(F.count("*").alias("__n"), *(F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True)).alias(k) for k, c in named.items())).drop("__n")
     passed = F.lit(True)
     for k in named:
         passed = passed & F.col(k)
