@@ -49,6 +49,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cepage/{name}-{uuid.uuid4().hex}"
 
 
+class Rounds:
+    """Tables of an iteration, written to the shared folder; a table is dropped once its successor is there.
+
+    Unlike checkpoints, tables that are read again have sizes of their own. The estimates that a checkpoint keeps
+    multiply with every join, and after some twenty rounds planning takes longer than running.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def table(self, key: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` as the table ``key`` of this round, and drop the former one."""
+        path = scratch_path(self.spark, f"{self.name}-{key}")
+        df.write.parquet(path)
+        if key in self.paths:
+            remove_path(self.spark, self.paths[key])
+        self.paths[key] = path
+        return self.spark.read.parquet(path)
+
+    def drop(self, key: str) -> None:
+        if key in self.paths:
+            remove_path(self.spark, self.paths.pop(key))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote below the shared folder."""
+    if "/cepage/" not in path:
+        raise ValueError(f"{path} is no folder of this library")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle whose number must be given: at least the configured number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

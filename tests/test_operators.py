@@ -172,10 +172,11 @@ def test_hamming_join_against_brute_force(spark):
     assert got == want and want
 
 
-def test_components_of_chains_and_singletons(spark):
+@pytest.mark.parametrize("in_one_task", [0, 15, 1000])
+def test_components_of_chains_and_singletons(spark, in_one_task):
     nodes = spark.createDataFrame([(f"n{k:02d}",) for k in range(40)] + [(None,)], "node string")
     edges = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}") for k in range(10, 30)] + [("n00", "zz"), ("n05", "n05"), (None, "n01")], "a string, b string")
-    got = {r["node"]: r["root"] for r in C.smallest_labels(nodes, edges).collect()}
+    got = {r["node"]: r["root"] for r in C.smallest_labels(nodes, edges, in_one_task=in_one_task).collect()}
     assert len(got) == 40 and {got[f"n{k:02d}"] for k in range(10, 31)} == {"n10"} and got["n00"] == "n00"
 
 
