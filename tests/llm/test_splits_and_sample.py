@@ -62,8 +62,9 @@ def test_linked_keys_merge_and_a_ledger_carries_over(spark):
 
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(f"k{k:03d}", f"k{k + 1:03d}") for k in range(150)], "a string, b string")
-    nodes = splits.merge_components(spark.createDataFrame([], "node string, component string"), links).collect()
-    assert {r["component"] for r in nodes} == {"k000"} and len(nodes) == 151
+    for in_one_task in (0, 1000):
+        nodes = splits.merge_components(spark.createDataFrame([], "node string, component string"), links, in_one_task).collect()
+        assert {r["component"] for r in nodes} == {"k000"} and len(nodes) == 151
 
 
 def test_no_records(spark):
