@@ -1,6 +1,6 @@
 """Command line: ``python -m cepage QUERY --data DIR [--out DIR] [--limit N]`` runs one registered query.
 
-``python -m cepage --list`` names them. Exit code 2 if the result has a column ``passed`` that is false.
+``python -m cepage --list`` names them; ``--module NAME`` adds those of a further module. Exit code 2 if the result has a column ``passed`` that is false.
 """
 
 from __future__ import annotations
@@ -9,19 +9,15 @@ import argparse
 import importlib
 import json
 import sys
-from pkgutil import iter_modules
 
 from cepage.session import local_session
 
 PLANS = ["cepage.plans.curation", "cepage.plans.evaluation", "cepage.plans.analytics", "cepage.plans.corpus_queries", "cepage.plans.extensions"]
 
 
-def registered() -> dict:
-    """All queries of the installed modules, those of optional subpackages included."""
-    import cepage
-
-    names = PLANS + [f"cepage.{m.name}.queries" for m in iter_modules(cepage.__path__) if m.ispkg and m.name not in ("operators", "sources", "functions", "plans", "streaming")]
-    return {k: f for n in names for k, f in importlib.import_module(n).QUERIES.items()}
+def registered(more: list[str]) -> dict:
+    """All queries of the plans and of further modules that hold a table QUERIES."""
+    return {k: f for n in [*PLANS, *more] for k, f in importlib.import_module(n).QUERIES.items()}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -32,8 +28,9 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--limit", type=int, default=20, help="rows to print")
     parser.add_argument("--cores", default="*")
     parser.add_argument("--list", action="store_true")
+    parser.add_argument("--module", action="append", default=[], help="a further module of queries, such as one of an optional subpackage")
     args = parser.parse_args(argv)
-    known = registered()
+    known = registered(args.module)
     if args.list or not args.query:
         print("\n".join(sorted(known)))
         return 0

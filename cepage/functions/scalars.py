@@ -207,3 +207,15 @@ def mcnemar_p(left_only: Column, right_only: Column) -> Column:
     """Exact two-sided McNemar p value of the two discordant counts; 1 if there are none."""
     n = left_only + right_only
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * binomial_lower_tail(n, F.least(left_only, right_only))))
+
+
+def numeric_entries(text: Column) -> Column:
+    """The numeric members of a JSON object as map<string,double>; true and false count as 1 and 0, others are left out."""
+    entries = F.from_json(text, "map<string,string>")
+    number = lambda v: F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double"))
+    return F.transform_values(F.map_filter(entries, lambda k, v: number(v).isNotNull()), lambda k, v: number(v))
+
+
+def relative_completeness(delta: Column, difference: Column, floor: float = 1e-6) -> Column:
+    """How far attributions are from summing to the score difference they explain, relative to it."""
+    return F.abs(delta) / F.greatest(F.abs(difference), F.lit(floor))

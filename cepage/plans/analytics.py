@@ -242,6 +242,13 @@ def s05_json_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", F.element_at(parsed, F.element_at(keys, 1)).alias("first_value"), F.size(keys).cast("bigint").alias("n_keys"))
 
 
+@query("""WITH x AS (SELECT event_type, unnest(json_keys(props)) AS field, props FROM events)
+  SELECT event_type, field, count(v) AS n, round(avg(v), 6) AS mean FROM (SELECT event_type, field, try_cast(json_extract_string(props, '$.' || field) AS DOUBLE) AS v FROM x) GROUP BY ALL HAVING count(v) > 0""")
+def a09_numeric_fields(spark, sf):
+    long = table(spark, sf, "events").select("event_type", F.explode(S.numeric_entries(F.col("props"))).alias("field", "v"))
+    return long.groupBy("event_type", "field").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+
+
 @query("SELECT o_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber)::INT AS block_rank FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def w14_block_rank(spark, sf):
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")

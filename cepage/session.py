@@ -81,6 +81,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as tasks can run at once, if a scan gives it fewer (few or small files)."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle whose number must be given: at least the configured number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -76,6 +76,12 @@ def test_arrays_and_schedules(spark):
     assert one(spark, "n int, k int", (n, k), S.binomial_lower_tail(F.col("n"), F.col("k"))) == pytest.approx(want, rel=1e-9)
 
 
+def test_numeric_members_of_json(spark):
+    got = one(spark, "x string", ('{"a": 1, "b": "2.5", "c": true, "d": "x", "e": null}',), S.numeric_entries(F.col("x")))
+    assert got == {"a": 1.0, "b": 2.5, "c": 1.0}
+    assert one(spark, "a double, b double", (0.2, 0.0), S.relative_completeness(F.col("a"), F.col("b"))) == pytest.approx(2e5)
+
+
 def test_holm_and_mcnemar(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03), ("f", "d", None), ("g", "a", 0.9)], "family string, k string, p double")
     got = {(r["family"], r["k"]): r["p_holm"] for r in I.holm(df, ["family"], "p", ["k"]).collect()}
