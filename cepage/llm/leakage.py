@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from cepage.functions.frames import require_columns
 from cepage.llm.bits import ranges
 from cepage.llm.words import words
+from cepage.session import spread
 
 _PRIME = 0x9E3779B185EBCA87
 
@@ -87,10 +88,9 @@ class Items:
             for p, w in enumerate(ids.tolist()):
                 where[w] = where.get(w, 0) | 1 << p
             self.masks.append(where)
-        self.member = np.zeros((len(rows), len(self.vocabulary) + 1), bool)
-        for r, ids in enumerate(self.ids):
-            self.member[r, ids] = True
-        self.member[:, 0] = False
+        filled = np.flatnonzero(n > 0)
+        self.filled, self.all_words = filled, np.concatenate([self.ids[r] for r in filled]) if len(filled) else np.empty(0, np.int64)
+        self.starts = np.cumsum(n[filled]) - n[filled]
         self.counts = [Counter(ids.tolist()) for ids in self.ids]
         prints = []
         for r, t in enumerate(texts):
@@ -159,12 +159,24 @@ class Items:
         return out
 
     def _reworked(self, ids: np.ndarray, known: set[int]) -> set[int]:
+        if not len(self.filled):
+            return set()
+        # No item keeps more of its words than the text has at all.
+        present = np.zeros(len(self.vocabulary) + 1, np.int64)
+        present[ids] = 1
+        present[0] = 0
+        enough = np.zeros(len(self.keys), bool)
+        enough[self.filled] = np.add.reduceat(present[self.all_words], self.starts) >= self.least[self.filled]
+        enough[list(known)] = False
+        if not enough.any():
+            return set()
         code = ids[:-1] * (len(self.vocabulary) + 1) + ids[1:]
         both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         if not len(both):
             return set()
         hit, row = self._hits(self.pairs, code[both].astype(np.uint64))
         item, place = self.pairs[row, 1].astype(np.int64), both[hit]
+        item, place = item[enough[item]], place[enough[item]]
         order = np.lexsort((place, item))
         item, place = item[order], place[order]
         out: set[int] = set()
@@ -174,12 +186,12 @@ class Items:
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(item)], strict=True):
             r = int(item[a])
             need, stretch, least = int(self.pairs_needed[r]), int(self.stretch[r]), int(self.least[r])
-            if r in known or b - a < need or len(ids) < least:
+            if b - a < need or len(ids) < least:
                 continue
             p = place[a:b]
             if not (p[need - 1 :] - p[: b - a - need + 1] < stretch).any():
                 continue
-            member = self.member[r][ids]
+            member = np.isin(ids, self.ids[r])
             upto = np.concatenate([[0], np.cumsum(member)])
             begin = np.flatnonzero(member)
             inside = upto[np.minimum(begin + stretch, len(ids))] - upto[begin]
@@ -208,6 +220,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id",
     require_columns(items, (item_key, text))
     spark = documents.sparkSession
     corpus = documents.where(F.col(f"`{doc_key}`").isNotNull() & (F.length(F.col(f"`{text}`")) > 0)).select(f"`{doc_key}`", f"`{text}`")
+    corpus = spread(corpus)
     kind, item_kind = dict(documents.dtypes)[doc_key], dict(items.dtypes)[item_key]
     schema = f"`{doc_key}` {kind}, `{item_key}` {item_kind}"
     item_type = items.select(f"`{item_key}`").limit(0).toArrow().schema.field(0).type
