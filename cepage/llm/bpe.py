@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cepage.functions.frames import require_columns
+from cepage.session import spread
 
 # Fixed value: the pattern that cuts texts into pre-tokens for this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -162,5 +163,5 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([keys.slice(at, 1000), ids], [key, "ids"])
 
-    rows = documents.select(f"`{key}`", F.col(f"`{text}`").cast("string"))
+    rows = spread(documents.select(f"`{key}`", F.col(f"`{text}`").cast("string")))
     return rows.mapInArrow(run, f"`{key}` {dict(documents.dtypes)[key]}, ids array<int>")
