@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cepage.functions.frames import require_columns
-from cepage.session import cut
+from cepage.session import cut, spread
 
 SHARES = (0.5, 0.8, 0.95)
 LEVELS = (1, 2, 3, 4)
@@ -40,6 +40,7 @@ _NO_PROSE = (
     r"^\s*\S+=\S+(\s+\S+=\S+)+\s*$|^\s*[\[{].*[\]}]\s*$|^[^\s;]*(;[^\s;]*){3,}$|^.{0,200}(\|.{0,200}){2,}$"
     r"|^([^\t]{0,60}\t){2,}[^\t]{0,60}$|^\s*(>|&gt;)|^\s*[-*\u2022\u2013]\s*[^.!?:]{0,40}:\s*[-+0-9.,%]+\s*$"
 )
+_MARKS = r"[=;|\t>{\[:]|&gt;"
 _TAGS = r"<[A-Za-z/!][^<>]*>"
 _UNSEEN = r"[\u200b-\u200f\u2060\ufeff\u00ad]"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,8 +49,11 @@ _END = re.compile(r"[.!?]+(?:\s|$)")
 
 def prose(text: Column) -> Column:
     """The running prose of a text: its lines without logs, tables, records, bare lists, quoted mail and tags."""
-    plain = F.regexp_replace(F.regexp_replace(text, _UNSEEN, ""), _TAGS, " ")
-    return F.array_join(F.filter(F.split(plain, r"\r\n|[\n\r\u2028\u2029]"), lambda line: ~line.rlike(_NO_PROSE)), "\n")
+    tagless = F.when(text.contains("<"), F.regexp_replace(text, _TAGS, " ")).otherwise(text)
+    plain = F.when(F.length(text) < F.octet_length(text), F.regexp_replace(tagless, _UNSEEN, "")).otherwise(tagless)
+    # Most lines have none of the marks that the patterns ask for.
+    lines = F.filter(F.split(plain, r"\r\n|[\n\r\u2028\u2029]"), lambda line: ~line.rlike(_MARKS) | ~line.rlike(_NO_PROSE))
+    return F.array_join(lines, "\n")
 
 
 def _counted(min_words: int):
@@ -88,7 +92,7 @@ def _counted(min_words: int):
 def texts_of(documents: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """__key, distinct words, their counts, their sum n and the complexity of documents that hold running prose."""
     rows = documents.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    rows = rows.select(F.col(f"`{key}`").alias("__key"), prose(F.col(f"`{text}`")).alias("p"))
+    rows = spread(rows.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("p"))).select("__key", prose(F.col("p")).alias("p"))
     kind = dict(rows.dtypes)["__key"]
     return rows.mapInArrow(_counted(min_words), f"`__key` {kind}, words array<string>, counts array<bigint>, n bigint, " + ", ".join(f"{c} double" for c in COMPLEXITY))
 
@@ -118,16 +122,18 @@ def level_ranks(texts: DataFrame, judged: DataFrame) -> DataFrame:
     return ranked.groupBy("fold", "word").agg(*(F.max(F.when(F.col("level") == k, F.col("r"))).alias(f"l{k}") for k in LEVELS))
 
 
-def weighted_coverage(doc: np.ndarray, rank: np.ndarray, count: np.ndarray, totals: np.ndarray, share: float) -> np.ndarray:
-    """For each document (0, 1, ...), the smallest rank up to which its words make up ``share`` of its total; 0 if none."""
-    order = np.lexsort((rank, doc))
-    upto = np.cumsum(count[order])
-    first = np.searchsorted(doc[order], np.arange(len(totals)), "left")
-    last = np.searchsorted(doc[order], np.arange(len(totals)), "right")
-    base = np.where(first > 0, upto[np.maximum(first - 1, 0)], 0)
-    need = np.ceil(share * totals - 1e-9).astype(np.int64)
-    at = np.searchsorted(upto, base + need, "left")
-    return np.where(at < last, rank[order][np.minimum(at, len(order) - 1)], 0)
+def weighted_coverage(doc: np.ndarray, rank: np.ndarray, count: np.ndarray, totals: np.ndarray, shares: tuple[float, ...]) -> list[np.ndarray]:
+    """For each document (0, 1, ...), the smallest ranks up to which its words make up shares of its total; 0 if none."""
+    order = np.argsort((doc.astype(np.int64) << 40) | rank)
+    doc, rank = doc[order], rank[order]
+    upto = np.append(np.cumsum(count[order]), 0)
+    first, last = np.searchsorted(doc, np.arange(len(totals)), "left"), np.searchsorted(doc, np.arange(len(totals)), "right")
+    base = upto[first - 1]
+    out = []
+    for share in shares:
+        at = np.searchsorted(upto[:-1], base + np.ceil(share * totals - 1e-9).astype(np.int64), "left")
+        out.append(np.where(at < last, np.append(rank, 0)[np.minimum(at, len(rank))], 0))
+    return out
 
 
 def _covered(words: list[str], table: np.ndarray, folds: int):
@@ -148,8 +154,7 @@ def _covered(words: list[str], table: np.ndarray, folds: int):
                 for r in range(len(RANKS)):
                     rank = table[at, 0 if r == 0 else 1 + fold * len(LEVELS) + r - 1]
                     known = rank > 0
-                    for share in SHARES:
-                        out.append(pa.array(weighted_coverage(doc[known], rank[known], counts[known], totals, share)))
+                    out += map(pa.array, weighted_coverage(doc[known], rank[known], counts[known], totals, SHARES))
                 yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("fold"), *out], ["__key", "fold", *COVERED])
 
     return run
