@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cepage.functions import scalars as S
+from cepage.session import cut
 
 
 def holm(df: DataFrame, family: list[str], p: str, key: list[str], out: str = "p_holm") -> DataFrame:
@@ -53,47 +56,89 @@ def macro_f1_of(counts: np.ndarray) -> np.ndarray:
     return np.divide(2 * hits, both, out=np.zeros(hits.shape), where=both > 0).mean(axis=-1)
 
 
-def crossed_bootstrap(pairs: DataFrame, by: list[str], seed_column: str, group_column: str, classes: int, resamples: int = 5000, seed: int = 424242, confidence: float = 0.95, block: int = 250) -> DataFrame:
+def crossed_bootstrap(pairs: DataFrame, by: list[str], seed_column: str, group_column: str, classes: int, resamples: int = 5000, seed: int = 424242, confidence: float = 0.95, block: int = 250, bucket_groups: int = 20_000) -> DataFrame:
     """Paired bootstrap over seeds and groups: difference of mean macro F1, interval and p value per comparison.
 
     pairs: true_class, predicted_class_left and predicted_class_right. Observations are first summed to one count
     per comparison, seed, group, true and predicted class; a resample is then a weighting of groups, shared by
-    all its drawn seeds, so a block of resamples is one matrix product. Blocks are tasks of their own and draw
-    from streams of their own, so results do not depend on partitions. Every system's counts are one row per
-    non-empty cell, and a block holds ``block`` x groups draws at a time.
+    all its drawn seeds, so a block of resamples is one matrix product. Groups are spread over buckets of about
+    ``bucket_groups``: every resample first draws how many groups each bucket gives, then the groups within it,
+    from streams keyed by resample and bucket. A task so holds one bucket of one comparison and one block of
+    resamples, whatever the number of groups, and results do not depend on partitions.
     """
     cells = pairs.groupBy(*by, F.col(seed_column).cast("string").alias("s"), F.col(group_column).cast("string").alias("g"), F.col("true_class").alias("t"), F.col("predicted_class_left").alias("l"), F.col("predicted_class_right").alias("r")).agg(F.count("*").alias("n"))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit((resamples - 1) // block)), lambda b: b)
-    spread = cells.withColumn("block", F.explode(blocks))
+    cells = cut(cells)
+    most = cells.select(*by, "g").distinct().groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 1
+    buckets = math.ceil(most / bucket_groups)
+    # With one bucket a task has all of its resamples' counts and gives their differences at once.
+    whole = buckets == 1
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
+    key_of = lambda row: tuple(str(v) for v in row)
+    sizes: dict[tuple, dict[int, int]] = {}
+    for row in cells.select(*by, "bucket", "g").distinct().groupBy(*by, "bucket").agg(F.count("*").alias("k")).collect():
+        sizes.setdefault(key_of(row[:-2]), {})[row[-2]] = row[-1]
+    seeds: dict[tuple, list[str]] = {}
+    for row in cells.select(*by, "s").distinct().orderBy("s").collect():
+        seeds.setdefault(key_of(row[:-1]), []).append(row[-1])
+    k2 = classes * classes
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        at = int(key[-1])
-        seeds, s = np.unique(frame.s, return_inverse=True)
+        at, bucket = int(key[-2]), int(key[-1])
+        name = key_of(key[:-2])
+        names = seeds[name]
+        order = sorted(sizes[name])
+        shares = np.array([sizes[name][b] for b in order], float)
         groups, g = np.unique(frame.g, return_inverse=True)
-        k2 = classes * classes
+        s = frame.s.map({v: k for k, v in enumerate(names)}).to_numpy()
         tables = []
         for side in ("l", "r"):
-            table = np.zeros((len(groups), len(seeds) * k2))
+            table = np.zeros((len(groups), len(names) * k2))
             np.add.at(table, (g, s * k2 + frame.t.to_numpy(int) * classes + frame[side].to_numpy(int)), frame.n.to_numpy(float))
             tables.append(table)
-        size = min(block, resamples - at * block)
-        rng = np.random.default_rng([seed, at])
-        weights = np.stack([np.bincount(rng.integers(0, len(groups), len(groups)), minlength=len(groups)) for _ in range(size)])
-        drawn = rng.integers(0, len(seeds), (size, len(seeds)))
-        scores = []
-        for table in tables:
-            f1 = macro_f1_of((weights @ table).reshape(size, len(seeds), classes, classes))
-            scores.append(np.take_along_axis(f1, drawn, axis=1).mean(axis=1))
-        point = [macro_f1_of(t.sum(axis=0).reshape(len(seeds), classes, classes)).mean() for t in tables]
-        return pd.DataFrame([[*key[:-1], at, point[0] - point[1], (scores[0] - scores[1]).tolist()]], columns=[*by, "block", "difference", "resampled"])
-
+        # Resample -1 is the data itself: every group and seed once.
+        numbers = [*([-1] if at == 0 else []), *range(at * block, min((at + 1) * block, resamples))]
+        weights, drawn = np.ones((len(numbers), len(groups))), np.ones((len(numbers), len(names)))
+        for row, number in enumerate(numbers):
+            if number >= 0:
+                rng = np.random.default_rng([seed, number])
+                drawn[row] = rng.multinomial(len(names), np.full(len(names), 1 / len(names)))
+                given = rng.multinomial(int(shares.sum()), shares / shares.sum())[order.index(bucket)]
+                weights[row] = np.random.default_rng([seed, number, bucket]).multinomial(given, np.full(len(groups), 1 / len(groups)))
+        summed = [(weights @ t).reshape(len(numbers) * len(names), k2) for t in tables]
+        if whole:
+            gaps = [macro_f1_of(m.reshape(len(numbers), len(names), classes, classes)) for m in summed]
+            return pd.DataFrame({**dict(zip(by, key[:-2], strict=True)), "number": numbers, "d": ((gaps[0] - gaps[1]) * drawn).sum(axis=1) / len(names)})
+        head = {c: v for c, v in zip(by, key[:-2], strict=True)}
+        return pd.DataFrame({**head, "number": np.repeat(numbers, len(names)), "s": np.tile(np.arange(len(names)), len(numbers)), "w": drawn.ravel(), **{f"{side}{k}": m[:, k] for side, m in zip("lr", summed, strict=True) for k in range(k2)}})
+
+    counts = [f"{side}{k}" for side in "lr" for k in range(k2)]
     types = dict(pairs.dtypes)
-    shape = ", ".join([*(f"`{c}` {types[c]}" for c in by), "block int", "difference double", "resampled array<double>"])
-    drawn = spread.groupBy(*by, "block").applyInPandas(run, shape).select(*by, "difference", F.explode("resampled").alias("d"))
+    given = ["number int", "d double"] if whole else ["number int", "s int", "w double", *(f"{c} double" for c in counts)]
+    shape = ", ".join([*(f"`{c}` {types[c]}" for c in by), *given])
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // block)))
+    parts = cells.withColumn("block", blocks).groupBy(*by, "block", "bucket").applyInPandas(run, shape)
+    each = parts if whole else _scored(parts, by, counts, classes)
     low, high = (1 - confidence) / 2, 1 - (1 - confidence) / 2
-    tail = lambda c: (F.count_if(c) + 1) / (F.count("*") + 1)
-    p = F.least(F.lit(1.0), 2.0 * F.least(tail(F.col("d") <= 0), tail(F.col("d") >= 0)))
-    return drawn.groupBy(*by).agg(F.max("difference").alias("difference"), F.percentile("d", F.lit(low)).alias("ci_low"), F.percentile("d", F.lit(high)).alias("ci_high"), p.alias("p_value"), F.count("*").alias("resamples"))
+    resampled = F.when(F.col("number") >= 0, F.col("d"))
+    tail = lambda c: (F.count_if(c) + 1) / (F.count(resampled) + 1)
+    p = F.least(F.lit(1.0), 2.0 * F.least(tail(resampled <= 0), tail(resampled >= 0)))
+    return each.groupBy(*by).agg(F.max(F.when(F.col("number") < 0, F.col("d"))).alias("difference"), F.percentile(resampled, F.lit(low)).alias("ci_low"), F.percentile(resampled, F.lit(high)).alias("ci_high"), p.alias("p_value"), F.count(resampled).alias("resamples"))
+
+
+def _scored(parts: DataFrame, by: list[str], counts: list[str], classes: int) -> DataFrame:
+    """Difference of mean macro F1 per resample, from counts summed over buckets."""
+    sums = parts.groupBy(*by, "number", "s").agg(F.max("w").alias("w"), *(F.sum(c).alias(c) for c in counts))
+
+    def macro_f1(side: str) -> Column:
+        parts = []
+        for k in range(classes):
+            row = sum((F.col(f"{side}{k * classes + j}") for j in range(classes)), F.lit(0.0))
+            column = sum((F.col(f"{side}{j * classes + k}") for j in range(classes)), F.lit(0.0))
+            parts.append(F.coalesce(F.try_divide(2 * F.col(f"{side}{k * classes + k}"), row + column), F.lit(0.0)))
+        return sum(parts, F.lit(0.0)) / classes
+
+    scored = sums.select(*by, "number", "w", (macro_f1("l") - macro_f1("r")).alias("d"))
+    return scored.groupBy(*by, "number").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("d"))
 
 
 def comparison_grid(spark, systems: list[str], scopes: list[str]) -> DataFrame:

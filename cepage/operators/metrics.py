@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cepage.functions import scalars as S
+from cepage.operators.windows import sums_before
 
 
 def class_grid(df: DataFrame, by: list[str], classes: int) -> DataFrame:
@@ -70,11 +71,11 @@ def summary(df: DataFrame, by: list[str], classes: int) -> DataFrame:
 def roc_auc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve by the rank sum with average ranks on ties; null if a side is empty.
 
-    Ties are aggregated first and ranks are running sums over distinct scores, so equal scores are one row.
+    Ties are aggregated first and ranks are running sums over distinct scores, taken by ranges of scores, so neither
+    equal scores nor a large group end up in one task.
     """
     tied = df.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = tied.withColumn("mean_rank", before + (F.col("n") + 1) / F.lit(2.0))
+    ranked = sums_before(tied, by, score, "n", "__before").withColumn("mean_rank", F.col("__before") + (F.col("n") + 1) / F.lit(2.0))
     sums = ranked.groupBy(*by).agg(F.sum("p").cast("double").alias("np"), F.sum(F.col("n") - F.col("p")).cast("double").alias("nn"), F.sum(F.col("p") * F.col("mean_rank")).alias("s"))
     auc = F.try_divide(F.col("s") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn"))
     return sums.select(*by, F.col("np").cast("bigint").alias("n_positive"), F.col("nn").cast("bigint").alias("n_negative"), auc.alias("auc"))

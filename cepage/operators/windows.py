@@ -6,6 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cepage.functions import scalars as S
+from cepage.session import cut
+
+
+def global_row_number(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Row numbers over the whole table without gathering it: a distributed sort, then offsets of its partitions.
+
+    ``order`` must be total. The sorted table is written once, so that partitions and offsets belong together.
+    """
+    low = (1 << 33) - 1
+    rows = cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = rows.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    joined = rows.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(offsets), "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit(low)) + 1).drop("__part", "__before", "__at")
+
+
+def sums_before(df: DataFrame, by: list[str], key: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over rows of the group with a smaller key; (group, key) must be unique.
+
+    Ranges of (group, key) are cut wherever rows are, also within a group, so a group of a third of all rows is
+    spread over a third of the tasks; each range sums its own rows and gets the totals of the ranges before it.
+    """
+    ranged = df.repartitionByRange(*by, key).withColumn("__range", F.spark_partition_id())
+    ranged = cut(ranged)
+    own = Window.partitionBy("__range", *by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("__own", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    totals = ranged.groupBy("__range", *by).agg(F.sum(value).alias("__total"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__range", *(F.col(c).alias(f"__by_{c}") for c in by), F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__before"))
+    same = F.col("__range") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    joined = local.join(offsets.withColumnRenamed("__range", "__at"), same)
+    return joined.select(*df.columns, (F.col("__own") + F.col("__before")).alias(name))
 
 
 def first_rows(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

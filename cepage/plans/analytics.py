@@ -84,15 +84,15 @@ def a05_having(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")).where("n > 10")
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderdate, rn AS position FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS rn FROM orders) WHERE rn <= 2")
+@query("SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, rn AS position FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS rn FROM orders) WHERE rn <= 2")
 def w06_first_orders(spark, sf):
     rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    return W.first_rows(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], 2)
+    return W.first_rows(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], 2).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT user_id, max((ts, event_id))[1] AS ts, max((ts, event_id))[2] AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+@query("SELECT user_id, strftime(max((ts, event_id))[1], '%Y-%m-%d %H:%M:%S.%f') AS ts, max((ts, event_id))[2] AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
 def w07_last_event(spark, sf):
-    return W.last_row(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["value"])
+    return W.last_row(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["value"]).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("""SELECT event_id, event_type, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE AS mean_rank FROM events""")
@@ -117,7 +117,7 @@ def o05_top_overlap(spark, sf):
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS x, value AS y FROM events), s AS (SELECT user_id, x, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM e WINDOW w AS (PARTITION BY user_id ORDER BY x, event_id))
   SELECT user_id, round(sum(a) / nullif(max(x) - min(x), 0), 6) AS auc FROM s GROUP BY user_id""")
 def w08_trapezoid_area(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), F.col("value").alias("y"))
+    rows = table(spark, sf, "events").select("user_id", "event_id", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1e6).alias("x"), F.col("value").alias("y"))
     return _rounded(W.trapezoid_area(rows, ["user_id"], "x", "y", "event_id"))
 
 

@@ -198,7 +198,8 @@ def w01_priority_queue(spark, sf):
     reasons = S.rule_flags(rules, "threshold_only")
     tier = F.when(~c("same_class"), 1).when(reasons != "threshold_only", 2).otherwise(3)
     order = [c("tier"), F.desc_nulls_last("rgb_embedding_cosine_similarity"), F.desc_nulls_last("ssim_uniform_window"), F.asc_nulls_first("dhash_distance"), F.asc_nulls_first("phash_distance"), c("candidate_pair_id")]
-    ranked = first_candidates(spark, sf).select("*", tier.alias("tier"), reasons.alias("reasons")).withColumn("priority", F.row_number().over(W.Window.orderBy(*order)).cast("bigint"))
+    ranked = first_candidates(spark, sf).select("*", tier.alias("tier"), reasons.alias("reasons"))
+    ranked = W.global_row_number(ranked, order, "priority")
     return ranked.select("candidate_pair_id", "tier", "reasons", "priority", (F.floor((c("priority") - 1) / 12) + 1).cast("int").alias("page"))
 
 
@@ -261,10 +262,10 @@ def j03_match_indicator(spark, sf):
     return J.match_indicator(one, two, ["user_id"])
 
 
-@query(f"WITH {Q.IMAGES}, {_CAND} SELECT candidate_pair_id, image_id_a, image_id_b, ingested_at FROM cand WHERE image_id_a IN (SELECT image_id FROM images) AND image_id_b IN (SELECT image_id FROM images)")
+@query(f"WITH {Q.IMAGES}, {_CAND} SELECT candidate_pair_id, image_id_a, image_id_b, strftime(ingested_at, '%Y-%m-%d %H:%M:%S.%f') AS ingested_at FROM cand WHERE image_id_a IN (SELECT image_id FROM images) AND image_id_b IN (SELECT image_id FROM images)")
 def j08_known_ends(spark, sf):
     known = images(spark, sf).select("image_id").distinct()
-    rows = candidates(spark, sf).select("candidate_pair_id", "image_id_a", "image_id_b", "ingested_at")
+    rows = candidates(spark, sf).select("candidate_pair_id", "image_id_a", "image_id_b", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ingested_at"))
     for end in ("image_id_a", "image_id_b"):
         rows = rows.join(known.withColumnRenamed("image_id", end), end, "left_semi")
     return rows
@@ -362,7 +363,8 @@ def f07_seeds(spark, sf):
 @query(f"""WITH {_FIRST} SELECT candidate_pair_id, row_number() OVER (ORDER BY least(dhash_distance, phash_distance) NULLS FIRST, dhash_distance NULLS FIRST, phash_distance NULLS FIRST, candidate_pair_id) AS position FROM firsts""")
 def o01_candidate_order(spark, sf):
     order = [F.least("dhash_distance", "phash_distance"), F.col("dhash_distance"), F.col("phash_distance"), F.col("candidate_pair_id")]
-    return first_candidates(spark, sf).select("candidate_pair_id", F.row_number().over(W.Window.orderBy(*order)).cast("bigint").alias("position"))
+    rows = first_candidates(spark, sf).select("candidate_pair_id", "dhash_distance", "phash_distance")
+    return W.global_row_number(rows, order, "position").select("candidate_pair_id", "position")
 
 
 @query(_I + "SELECT source_row, class_name, round(1.0::DOUBLE / count(*) OVER (PARTITION BY class_name), 12) AS weight FROM images WHERE class_name IS NOT NULL")

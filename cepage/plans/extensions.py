@@ -90,7 +90,7 @@ def x21_diagnostic_comparisons(spark, sf):
     return adjusted.withColumn("for_publication", F.lit(False))
 
 
-@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def ext_daily_events(spark, sf):
     sums = windows.windowed(table(spark, sf, "events"), ["event_type"])
-    return sums.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return sums.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

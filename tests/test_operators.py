@@ -105,14 +105,36 @@ def test_bootstrap_of_equal_and_of_different_systems(spark):
     assert again["better"]["ci_low"] == pytest.approx(got["better"]["ci_low"])
 
 
-def test_macro_f1_of_weighted_counts_equals_that_of_rows():
-    rng = np.random.default_rng(1)
-    t, p, w = rng.integers(0, 3, 50), rng.integers(0, 3, 50), rng.integers(0, 4, 50)
-    table = np.zeros((3, 3))
-    np.add.at(table, (t, p), w)
-    rows = np.repeat(np.arange(50), w)
-    f1 = [2 * ((t[rows] == k) & (p[rows] == k)).sum() / max(1, (t[rows] == k).sum() + (p[rows] == k).sum()) for k in range(3)]
-    assert I.macro_f1_of(table) == pytest.approx(np.mean(f1))
+def test_bootstrap_point_and_spread_do_not_depend_on_buckets(spark):
+    rng = random.Random(3)
+    rows = [("c", s, f"g{k % 30}", k % 3, rng.choice([k % 3, rng.randrange(3)]), rng.randrange(3)) for s in (1, 2, 3) for k in range(120)]
+
+    def f1(chosen, side):
+        return np.mean([2 * sum(r[3] == r[side] == k for r in chosen) / max(1, sum(r[3] == k for r in chosen) + sum(r[side] == k for r in chosen)) for k in range(3)])
+
+    point = np.mean([f1([r for r in rows if r[1] == s], 4) - f1([r for r in rows if r[1] == s], 5) for s in (1, 2, 3)])
+    one_, many = (I.crossed_bootstrap(predictions(spark, rows), ["c"], "s", "g", 3, resamples=600, bucket_groups=n).first() for n in (1000, 4))
+    assert one_["difference"] == pytest.approx(point) and many["difference"] == pytest.approx(point)
+    assert one_["ci_low"] == pytest.approx(many["ci_low"], abs=0.05) and one_["ci_high"] == pytest.approx(many["ci_high"], abs=0.05)
+    # The literal way: rows of drawn groups for every drawn seed.
+    draw = random.Random(5)
+    by = {}
+    for r in rows:
+        by.setdefault((r[1], r[2]), []).append(r)
+    plain = []
+    for _ in range(300):
+        gs = [f"g{draw.randrange(30)}" for _ in range(30)]
+        plain.append(np.mean([f1(c, 4) - f1(c, 5) for c in ([r for g in gs for r in by[(s, g)]] for s in (draw.choice((1, 2, 3)) for _ in range(3)))]))
+    assert one_["ci_low"] == pytest.approx(np.quantile(plain, 0.025), abs=0.06) and one_["ci_high"] == pytest.approx(np.quantile(plain, 0.975), abs=0.06)
+
+
+def test_row_numbers_and_sums_without_gathering(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("v"), F.when(F.col("id") % 3 > 0, "hot").alias("g")).repartition(7)
+    got = [r["n"] for r in W.global_row_number(df, ["v"], "n").orderBy("v").collect()]
+    assert got == list(range(1, 501))
+    rows = df.collect()
+    for r in W.sums_before(df, ["g"], "v", "v", "b").collect():
+        assert r["b"] == sum(x["v"] for x in rows if x["g"] == r["g"] and x["v"] < r["v"])
 
 
 def test_perfect_and_missing_classes(spark):
