@@ -103,6 +103,8 @@ def test_every_file_once_in_balanced_packs(spark):
     written = K.compact_table(df, dims, target_bytes=600)
     got = written.collect()
     assert sorted(r["path"] for r in got) == sorted([f"d/{k}.jpg" for k in range(400)] + ["d/big.jpg"])
+    files = written.select("pack_id", F.col("_metadata.file_path").alias("f")).distinct().collect()
+    assert len(files) == len({r["f"] for r in files}) == len({r["pack_id"] for r in files})
     packs: dict = {}
     for r in got:
         packs.setdefault(r["pack_id"], []).append(r)
