@@ -113,7 +113,7 @@ def _lookup(total: int, errors: int, chunk: int, block: int):
     return run
 
 
-def shared_spans(classes: DataFrame, total: int, block_rows: int = 500_000_000, chunk: int = 200_000, block: int = 4_000_000) -> DataFrame:
+def shared_spans(classes: DataFrame, total: int, block_rows: int = 20_000_000, chunk: int = 200_000, block: int = 4_000_000) -> DataFrame:
     """(h_eval, h_train, coverage) of different texts within ``total`` bits, one held out and one in training.
 
     classes: distinct h (bigint) with booleans in_train and in_eval. coverage counts the matched bits of 64.

@@ -106,7 +106,7 @@ def test_copies_nulls_repeats_extra_columns_and_empty(spark):
     assert H.expand_pairs(pairs, members).collect() == []
 
 
-@pytest.mark.parametrize("block_rows", [500_000_000, 60])
+@pytest.mark.parametrize("block_rows", [20_000_000, 60])
 def test_cross_split_overlaps_against_brute_force(spark, block_rows, monkeypatch):
     rng = random.Random(5)
     hs = hashes(360, 3)
