@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
+    if not on_path():
+        os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (str(ROOT), os.environ.get("PYTHONPATH")) if x)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("cepage")
@@ -23,6 +32,31 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
 
 
+def on_path() -> bool:
+    """Whether Python workers that inherit this environment find the package."""
+    return str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, through the shared folder, unless their environment has it."""
+    sc = spark.sparkContext
+    if on_path() or sc.applicationId in _shipped:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((ROOT / "cepage").rglob("*.py")):
+            z.write(f, f.relative_to(ROOT).as_posix())
+    path = f"{scratch_path(spark, 'package')}/cepage-package.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, shared by all executors.
 
