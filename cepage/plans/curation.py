@@ -52,12 +52,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "candidate").withColumns(ids)
 
 
-def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first loaded row of each candidate pair."""
-    rows = candidates(spark, sf_dir)
-    fields = [c for c in rows.columns if c not in ("candidate_pair_id", "ingested_at")]
-    first = rows.groupBy("candidate_pair_id").agg(F.min(F.struct("ingested_at", *fields)).alias("x"))
-    return first.select("candidate_pair_id", "x.*")
+def first_candidates(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The first loaded row of each candidate pair, with the named fields only."""
+    first = candidates(spark, sf_dir).groupBy("candidate_pair_id").agg(F.min(F.struct("ingested_at", *fields)).alias("x"))
+    return first.select("candidate_pair_id", *(f"x.{f}" for f in fields))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +196,7 @@ def w01_priority_queue(spark, sf):
     reasons = S.rule_flags(rules, "threshold_only")
     tier = F.when(~c("same_class"), 1).when(reasons != "threshold_only", 2).otherwise(3)
     order = [c("tier"), F.desc_nulls_last("rgb_embedding_cosine_similarity"), F.desc_nulls_last("ssim_uniform_window"), F.asc_nulls_first("dhash_distance"), F.asc_nulls_first("phash_distance"), c("candidate_pair_id")]
-    ranked = first_candidates(spark, sf).select("*", tier.alias("tier"), reasons.alias("reasons"))
+    ranked = first_candidates(spark, sf, "same_class", "dhash_distance", "phash_distance", "ssim_uniform_window", "rgb_embedding_cosine_similarity").select("*", tier.alias("tier"), reasons.alias("reasons"))
     ranked = W.global_row_number(ranked, order, "priority")
     return ranked.select("candidate_pair_id", "tier", "reasons", "priority", (F.floor((c("priority") - 1) / 12) + 1).cast("int").alias("page"))
 
@@ -234,7 +232,7 @@ def p15_blank_metadata(spark, sf):
 @query(f"""WITH {_FIRST}, {_DEC} SELECT d.candidate_pair_id, d.image_id_a, d.image_id_b FROM dec d JOIN firsts f USING (candidate_pair_id)
   WHERE d.image_id_a IS DISTINCT FROM f.image_id_a OR d.image_id_b IS DISTINCT FROM f.image_id_b""")
 def p16_pair_identity(spark, sf):
-    expected = first_candidates(spark, sf).select("candidate_pair_id", F.col("image_id_a").alias("ea"), F.col("image_id_b").alias("eb"))
+    expected = first_candidates(spark, sf, "image_id_a", "image_id_b").select("candidate_pair_id", F.col("image_id_a").alias("ea"), F.col("image_id_b").alias("eb"))
     joined = decisions(spark, sf).join(expected, "candidate_pair_id")
     same = F.col("image_id_a").eqNullSafe(F.col("ea")) & F.col("image_id_b").eqNullSafe(F.col("eb"))
     return joined.where(~same).select("candidate_pair_id", "image_id_a", "image_id_b")
@@ -300,7 +298,7 @@ def j11_hamming_pairs(spark, sf):
 def j12_seed_pairs(spark, sf):
     from cepage.plans.evaluation import predictions
 
-    return J.ordered_pairs(predictions(spark, sf), ["model_name", "regime", "image_id"], "seed", ["predicted_class"])
+    return J.ordered_pairs(predictions(spark, sf, "model_name", "regime", "seed", "predicted_class"), ["model_name", "regime", "image_id"], "seed", ["predicted_class"])
 
 
 @query("SELECT m.model_name, r.regime, s.seed FROM (SELECT DISTINCT model_name FROM run_registry) m, (SELECT DISTINCT regime FROM run_registry) r, (SELECT DISTINCT seed FROM run_registry) s")
@@ -321,7 +319,7 @@ def j14_first_match(spark, sf):
   SELECT candidate_pair_id FROM firsts f JOIN cls a ON f.image_id_a = a.image_id JOIN cls b ON f.image_id_b = b.image_id WHERE {Q.label('class_name_a')} IS DISTINCT FROM a.c OR {Q.label('class_name_b')} IS DISTINCT FROM b.c""")
 def j15_label_mismatch(spark, sf):
     classes = images(spark, sf).where("image_id is not null").groupBy("image_id").agg(F.max("class_name").alias("c"))
-    rows = first_candidates(spark, sf)
+    rows = first_candidates(spark, sf, "image_id_a", "image_id_b", "class_name_a", "class_name_b")
     for end in ("a", "b"):
         rows = rows.join(classes.select(F.col("image_id").alias(f"image_id_{end}"), F.col("c").alias(f"c_{end}")), f"image_id_{end}")
     same = N.label(F.col("class_name_a")).eqNullSafe(F.col("c_a")) & N.label(F.col("class_name_b")).eqNullSafe(F.col("c_b"))
@@ -363,7 +361,7 @@ def f07_seeds(spark, sf):
 @query(f"""WITH {_FIRST} SELECT candidate_pair_id, row_number() OVER (ORDER BY least(dhash_distance, phash_distance) NULLS FIRST, dhash_distance NULLS FIRST, phash_distance NULLS FIRST, candidate_pair_id) AS position FROM firsts""")
 def o01_candidate_order(spark, sf):
     order = [F.least("dhash_distance", "phash_distance"), F.col("dhash_distance"), F.col("phash_distance"), F.col("candidate_pair_id")]
-    rows = first_candidates(spark, sf).select("candidate_pair_id", "dhash_distance", "phash_distance")
+    rows = first_candidates(spark, sf, "dhash_distance", "phash_distance")
     return W.global_row_number(rows, order, "position").select("candidate_pair_id", "position")
 
 

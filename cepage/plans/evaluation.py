@@ -29,11 +29,18 @@ def query(sql: str | None = None):
     return add
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first loaded prediction of each run and image, with canonical ids and p, the array of probabilities."""
-    rows = table(spark, sf_dir, "predictions_test").withColumns({"image_id": N.uuid_text(F.col("image_id")), "p": F.array(*(f"probability_class_{k}" for k in range(CLASSES)))})
-    fields = ["model_name", "regime", "seed", "group_id", "true_class", "predicted_class", "confidence", "correct", "p"]
-    first = rows.where("image_id is not null").groupBy("experiment_id", "image_id").agg(F.min(F.struct("ingested_at", *fields)).alias("x"))
+#: What the class metrics need of a prediction.
+LABELS = (*GROUP, "true_class", "predicted_class")
+
+
+def predictions(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The first loaded prediction of each run and image: experiment_id, canonical image_id and the named fields.
+
+    Only these are read and shuffled. The field p is the array of probabilities.
+    """
+    made = {"image_id": N.uuid_text(F.col("image_id"))} | ({"p": F.array(*(f"probability_class_{k}" for k in range(CLASSES)))} if "p" in fields else {})
+    rows = table(spark, sf_dir, "predictions_test").withColumns(made).where("image_id is not null")
+    first = rows.groupBy("experiment_id", "image_id").agg(F.min(F.struct("ingested_at", *fields)).alias("x"))
     return first.select("experiment_id", "image_id", *(f"x.{f}" for f in fields))
 
 
@@ -53,23 +60,23 @@ _OK = f"ok AS (SELECT *, [probability_class_0, probability_class_1, probability_
 
 @query(_P + f", {_CM} SELECT * FROM cm")
 def a11_confusion(spark, sf):
-    return M.confusion(predictions(spark, sf), GROUP, CLASSES)
+    return M.confusion(predictions(spark, sf, *LABELS), GROUP, CLASSES)
 
 
 @query(_P + f", {_CM} SELECT model_name, regime, true_class, " + ", ".join(f"sum(CASE WHEN predicted_class = {k} THEN n ELSE 0 END)::BIGINT AS predicted_{k}" for k in range(4)) + " FROM cm GROUP BY ALL")
 def a11_confusion_wide(spark, sf):
-    return M.confusion_wide(predictions(spark, sf), GROUP, CLASSES)
+    return M.confusion_wide(predictions(spark, sf, *LABELS), GROUP, CLASSES)
 
 
 @query(_P + f", {_REPORT} SELECT model_name, regime, class_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support, hits FROM scored")
 def a12_class_report(spark, sf):
-    return _rounded(M.class_report(predictions(spark, sf), GROUP, CLASSES))
+    return _rounded(M.class_report(predictions(spark, sf, *LABELS), GROUP, CLASSES))
 
 
 @query(_P + f""", {_REPORT} SELECT model_name, regime, sum(support)::BIGINT AS n, sum(hits)::BIGINT AS n_correct, round(sum(hits)::DOUBLE / sum(support), 9) AS accuracy, round(avg(precision), 9) AS macro_precision,
   round(avg(recall), 9) AS balanced_accuracy, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM scored GROUP BY ALL""")
 def a13_summary(spark, sf):
-    return _rounded(M.summary(predictions(spark, sf), GROUP, CLASSES))
+    return _rounded(M.summary(predictions(spark, sf, *LABELS), GROUP, CLASSES))
 
 
 _AUC = """long AS (SELECT model_name, c.k::INT AS class_id, p[c.k + 1] AS score, true_class = c.k AS pos FROM ok, range(4) c(k)),
@@ -79,7 +86,7 @@ _AUC = """long AS (SELECT model_name, c.k::INT AS class_id, p[c.k + 1] AS score,
 
 
 def _valid(spark, sf) -> DataFrame:
-    return predictions(spark, sf).where(S.valid_probabilities(F.col("p"), CLASSES))
+    return predictions(spark, sf, "model_name", "true_class", "p").where(S.valid_probabilities(F.col("p"), CLASSES))
 
 
 @query(_P + f", {_OK}, {_AUC} SELECT model_name, class_id, n_positive, n_negative, round(auc, 9) AS auc FROM area")
@@ -95,7 +102,7 @@ def a14_macro_auc(spark, sf):
 @query(_P + f""", {_OK} SELECT model_name, regime, count(*) AS n, round(avg(-ln(least(greatest(p[true_class + 1], 1e-12), 1))), 9) AS log_loss,
   round(avg({' + '.join(f'pow(p[{k + 1}] - CASE WHEN true_class = {k} THEN 1 ELSE 0 END, 2)' for k in range(4))}), 9) AS brier FROM ok GROUP BY ALL""")
 def a15_probability_losses(spark, sf):
-    return _rounded(M.probability_losses(predictions(spark, sf), GROUP, F.col("p"), CLASSES))
+    return _rounded(M.probability_losses(predictions(spark, sf, *GROUP, "true_class", "p"), GROUP, F.col("p"), CLASSES))
 
 
 _BIN = "len(list_filter(list_transform(range(1, 15), lambda k: k / 15.0::DOUBLE), lambda e: e <= confidence))"
@@ -104,24 +111,24 @@ _BINS = f"bins AS (SELECT model_name, regime, {_BIN}::INT AS bin, count(*) AS n,
 
 @query(_P + f", {_BINS} SELECT model_name, regime, bin, n, round(mean_confidence, 9) AS mean_confidence, round(accuracy, 9) AS accuracy FROM bins")
 def a17_calibration_bins(spark, sf):
-    return _rounded(M.calibration_bins(predictions(spark, sf), GROUP, F.col("confidence"), F.col("correct")))
+    return _rounded(M.calibration_bins(predictions(spark, sf, *GROUP, "confidence", "correct"), GROUP, F.col("confidence"), F.col("correct")))
 
 
 @query(_P + f", {_BINS} SELECT model_name, regime, round(sum(abs(mean_confidence - accuracy) * n) / sum(n), 9) AS ece FROM bins GROUP BY ALL")
 def a17_ece(spark, sf):
-    return _rounded(M.expected_calibration_error(predictions(spark, sf), GROUP, F.col("confidence"), F.col("correct")))
+    return _rounded(M.expected_calibration_error(predictions(spark, sf, *GROUP, "confidence", "correct"), GROUP, F.col("confidence"), F.col("correct")))
 
 
 @query(_P + """, k AS (SELECT DISTINCT experiment_id, r.k FROM pred, range(4) r(k)), f AS (SELECT k.experiment_id, k.k, coalesce(2.0::DOUBLE * count(*) FILTER (WHERE true_class = k.k AND predicted_class = k.k) / nullif(count(*) FILTER (WHERE true_class = k.k) + count(*) FILTER (WHERE predicted_class = k.k), 0), 0) AS f1
   FROM k JOIN pred p USING (experiment_id) GROUP BY ALL) SELECT experiment_id, round(avg(f1), 9) AS macro_f1 FROM f GROUP BY experiment_id""")
 def a18_macro_f1(spark, sf):
-    return _rounded(M.summary(predictions(spark, sf), ["experiment_id"], CLASSES).select("experiment_id", "macro_f1"))
+    return _rounded(M.summary(predictions(spark, sf, "true_class", "predicted_class"), ["experiment_id"], CLASSES).select("experiment_id", "macro_f1"))
 
 
 @query(_P + """, e AS (SELECT model_name, regime, experiment_id, avg(correct::INT) AS accuracy FROM pred GROUP BY ALL), s AS (SELECT model_name, regime, count(*) AS n, avg(accuracy) AS mean, coalesce(stddev_samp(accuracy), 0) AS std FROM e GROUP BY ALL)
   SELECT model_name, regime, n, round(mean, 9) AS mean, round(std, 9) AS std, round(mean - 1.96 * std / sqrt(n), 9) AS ci_low, round(mean + 1.96 * std / sqrt(n), 9) AS ci_high FROM s""")
 def a08_seed_summary(spark, sf):
-    runs = predictions(spark, sf).groupBy(*GROUP, "experiment_id").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    runs = predictions(spark, sf, *GROUP, "correct").groupBy(*GROUP, "experiment_id").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
     return _rounded(A.seed_summary(runs, GROUP, "accuracy"))
 
 
@@ -130,18 +137,18 @@ def a08_seed_summary(spark, sf):
   m AS (SELECT model_name, regime, true_class, predicted_class, sum(n)::BIGINT AS total, avg(n) AS mean FROM c GROUP BY ALL)
   SELECT model_name, regime, true_class, predicted_class, total, round(mean, 9) AS mean, round(coalesce(mean / nullif(sum(mean) OVER (PARTITION BY model_name, regime, true_class), 0), 0), 9) AS share FROM m""")
 def a23_mean_confusion(spark, sf):
-    return _rounded(M.mean_confusion(predictions(spark, sf), GROUP, "seed", CLASSES))
+    return _rounded(M.mean_confusion(predictions(spark, sf, *LABELS, "seed"), GROUP, "seed", CLASSES))
 
 
 @query(_P + f"SELECT experiment_id, image_id, {_VALID.replace('probability', 'probability')} IS NOT NULL AND NOT isnan({_VALID}) AND abs({_VALID} - 1) <= 2e-5 AS valid FROM pred")
 def p11_valid_probabilities(spark, sf):
-    return predictions(spark, sf).select("experiment_id", "image_id", S.valid_probabilities(F.col("p"), CLASSES).alias("valid"))
+    return predictions(spark, sf, "p").select("experiment_id", "image_id", S.valid_probabilities(F.col("p"), CLASSES).alias("valid"))
 
 
 @query(_P + """, l AS (SELECT experiment_id, image_id, [probability_class_0, probability_class_1, probability_class_2, probability_class_3] AS p FROM pred WHERE isfinite(probability_class_0) AND isfinite(probability_class_1) AND isfinite(probability_class_2) AND isfinite(probability_class_3))
   SELECT experiment_id, image_id, (list_position(p, list_max(p)) - 1)::INT AS best FROM l""")
 def w09_argmax(spark, sf):
-    rows = predictions(spark, sf).where(F.forall("p", lambda x: x.isNotNull() & ~F.isnan(x)))
+    rows = predictions(spark, sf, "p").where(F.forall("p", lambda x: x.isNotNull() & ~F.isnan(x)))
     return rows.select("experiment_id", "image_id", S.argmax_lowest(F.col("p")).alias("best"))
 
 
@@ -155,7 +162,7 @@ def comparisons(spark: SparkSession) -> DataFrame:
 
 
 def paired_predictions(spark: SparkSession, sf_dir: str, outcome: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).withColumn("system", F.concat_ws("|", "model_name", "regime"))
+    rows = predictions(spark, sf_dir, *GROUP, "seed", outcome).withColumn("system", F.concat_ws("|", "model_name", "regime"))
     return I.paired(rows, "system", comparisons(spark), ["seed", "image_id"], outcome)
 
 
@@ -188,7 +195,7 @@ def j03_unmatched(spark, sf):
 
 @query()
 def x09_bootstrap(spark, sf):
-    rows = predictions(spark, sf).withColumn("system", F.concat_ws("|", "model_name", "regime"))
+    rows = predictions(spark, sf, *LABELS, "seed", "group_id").withColumn("system", F.concat_ws("|", "model_name", "regime"))
     keys = ["seed", "image_id", "true_class", "group_id"]
     pairs = I.paired(rows, "system", comparisons(spark), keys, "predicted_class").where("predicted_class_left is not null and predicted_class_right is not null and group_id is not null")
     return I.crossed_bootstrap(pairs, ["family", "left", "right"], "seed", "group_id", CLASSES, resamples=2000)

@@ -55,7 +55,7 @@ def a20_candidate_summary(spark, sf):
 
 
 def _journal(spark, sf):
-    rows = predictions(spark, sf).where("confidence is not null and not isnan(confidence)")
+    rows = predictions(spark, sf, "model_name", "regime", "seed", "correct", "confidence").where("confidence is not null and not isnan(confidence)")
     return rows.groupBy("model_name", "regime", "seed").agg(F.avg(F.col("correct").cast("double")).alias("score"), F.avg(1 - F.col("confidence")).alias("loss"))
 
 
