@@ -6,9 +6,9 @@ each reading level (ranks by counts over the labelled documents of that level):
 words of its own level, whatever their length. Coverage ranks and sentence complexity are calibrated against the
 human levels by a linear discriminant whose sums are taken in SQL; scoring is one SQL expression.
 
-Corpus ranks alone, with sentence complexity, agree with about 82 % of single human ratings in the test tables,
-as short words can carry research argument; with the ranks per level it is about 95 %, which is what the raters'
-own slips allow. The ranks of a labelled document come from the other half of the labelled documents.
+Corpus ranks alone, with sentence complexity, agree with the raters much less often than with the ranks per level,
+as short words can carry research argument (figures in the README). The ranks by which a labelled document enters the
+fit come from the other half of the labelled documents.
 
 Scale: a document's words are counted within its row; counts per word are summed before the shuffle; ranks come
 from the histogram of counts, so no task sorts the vocabulary. The ``hot_words`` most frequent words are sent to
