@@ -15,11 +15,12 @@ records is gathered anywhere. A component of a third of all records is one row h
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cepage.functions.frames import require_columns
 from cepage.operators.components import merged_names
+from cepage.operators.splitting import deficits, lay_out
 from cepage.session import cut
 
 PROPORTIONS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -71,16 +72,6 @@ def judge_components(rows: DataFrame, nodes: DataFrame, ledger: DataFrame | None
     return sizes.select("component", "n", F.array_sort("own").alias("earlier"), status.alias("status"))
 
 
-def _deficits(counts: dict[tuple[str, str], int], free: dict[str, int], proportions: dict[str, float]) -> dict[str, np.ndarray]:
-    """Per class, the records that each split still lacks, scaled to those that are free."""
-    out = {}
-    for c, n in free.items():
-        kept = np.array([counts.get((c, s), 0) for s in proportions], float)
-        lack = np.maximum(np.array(list(proportions.values())) * (kept.sum() + n) - kept, 0)
-        out[c] = lack * (n / lack.sum()) if lack.sum() else np.array(list(proportions.values())) * n
-    return out
-
-
 def _place(groups: dict[str, dict[str, int]], lack: dict[str, np.ndarray]) -> dict[str, int]:
     """Greedy placement, largest first, where squared deficits (by class and in all) fall most; updates ``lack``."""
     placed = {}
@@ -113,7 +104,7 @@ def assign_splits(records: DataFrame, record: str, keys: list[str], class_name:
     kept = counts.where("status = 'kept'").groupBy("class_name", F.element_at("earlier", 1).alias("s")).agg(F.sum("k").alias("k")).collect()
     free_rows = counts.where("status <> 'kept'").groupBy("class_name").agg(F.sum("k").alias("k")).collect()
     free = {r[0]: r[1] for r in free_rows}
-    lack = _deficits({(r[0], r[1]): r[2] for r in kept}, free, proportions)
+    lack = deficits({(r[0], r[1]): r[2] for r in kept}, free, proportions)
     free_counts = counts.where("status <> 'kept'")
     top = judged.where("status <> 'kept'").orderBy(F.desc("n"), "component").limit(greedy).select("component")
     groups: dict[str, dict[str, int]] = {}
@@ -125,23 +116,7 @@ def assign_splits(records: DataFrame, record: str, keys: list[str], class_name:
     # The others: by hash within their most frequent class, up to where each split's share of the class ends.
     main = free_counts.groupBy("component", "n").agg(F.max_by("class_name", F.struct("k", "class_name")).alias("class_name"))
     small = main.join(F.broadcast(large), "component", "left_anti")
-    small = cut(small.withColumns({"h": F.xxhash64("component"), "bucket": F.pmod(F.xxhash64(F.lit(3), "component"), F.lit(1024))}))
-    sums = small.groupBy("class_name", "bucket").agg(F.sum("n").alias("n")).orderBy("class_name", "bucket").toPandas()
-    sums["before"] = sums.groupby("class_name").n.cumsum() - sums.n
-    before = spark.createDataFrame([(a, int(b), int(c)) for a, b, c in zip(sums.class_name, sums.bucket, sums.before, strict=True)], "class_name string, bucket bigint, before bigint")
-    ends = []
-    for c, part in sums.groupby("class_name"):
-        share = np.maximum(lack[c], 0)
-        share = share / share.sum() if share.sum() else np.array(list(proportions.values()))
-        ends.append((c, *(float(x) for x in np.cumsum(share)[:-1] * part.n.sum())))
-    shape = ", ".join(f"end{k} double" for k in range(len(names) - 1))
-    limits = spark.createDataFrame(ends, f"class_name string, {shape}")
-    within = F.sum("n").over(Window.partitionBy("class_name", "bucket").orderBy("h", "component")) - F.col("n") / 2
-    laid = small.join(F.broadcast(before), ["class_name", "bucket"]).join(F.broadcast(limits), "class_name").withColumn("at", F.col("before") + within)
-    chosen = F.lit(names[-1])
-    for k in range(len(names) - 2, -1, -1):
-        chosen = F.when(F.col("at") < F.col(f"end{k}"), names[k]).otherwise(chosen)
-    filled = laid.select("component", chosen.alias("placed")).unionByName(large)
+    filled = lay_out(small, lack, proportions).unionByName(large)
     decided = judged.join(filled, "component", "left").select("component", "status", F.coalesce("placed", F.element_at("earlier", 1)).alias("split"))
     decided = cut(decided)
     assigned = rows.drop("split").join(decided, "component").select("id", "component", "class_name", "split", "status")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cepage.functions import normalise as N
 from cepage.functions import scalars as S
 from cepage.operators import aggregates as A
 from cepage.operators import joins as J
 from cepage.operators import splitting
 from cepage.operators import windows as W
-from cepage.sources.tables import table
+from cepage.sources.tables import held_images, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -258,6 +259,10 @@ def w14_block_rank(spark, sf):
 
 @query()
 def x07_grouped_split(spark, sf):
-    groups = table(spark, sf, "customer").groupBy(F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("group_id"), F.col("c_mktsegment").alias("class_name")).agg(F.count("*").alias("size"))
-    best, _ = splitting.optimise_split(groups, restarts=400)
+    images = held_images(table(spark, sf, "image_record"), group_id=N.uuid_text(F.col("group_id")), class_name=N.label(F.col("class_name")))
+    # An image of no group is a group by itself; a group of several classes counts to its most frequent one.
+    group = F.coalesce("group_id", F.concat(F.lit("record:"), "image_id"))
+    counts = images.groupBy(group.alias("group_id"), F.coalesce("class_name", F.lit("")).alias("class_name")).agg(F.count("*").alias("k"))
+    groups = counts.groupBy("group_id").agg(F.max_by("class_name", F.struct("k", "class_name")).alias("class_name"), F.sum("k").alias("size"))
+    best, _ = splitting.optimise_split(groups, restarts=20_000)
     return best

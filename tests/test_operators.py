@@ -264,3 +264,42 @@ def test_provenance(spark, tmp_path):
     assert P.overlay({"a": 1, "b": 2}, {"b": 3, "c": 4}, drop=("c",)) == {"a": 1, "b": 3}
     with pytest.raises(KeyError):
         P.first_present({"a": None}, ["a", "b"])
+
+
+def test_groups_beyond_the_bound_are_laid_out(spark):
+    rows = [(f"g{k:04d}", f"c{k % 2}", 1 + k % 7) for k in range(2000)]
+    groups = spark.createDataFrame(rows, "group_id string, class_name string, size int")
+    got, report = Sp.optimise_split(groups, 20, max_groups=300)
+    found = got.collect()
+    assert sorted((r["group_id"], r["class_name"], r["size"]) for r in found) == rows
+    assert (report["searched"], report["laid_out"]) == (300, 1700)
+    for c in ("c0", "c1"):
+        of = [r for r in found if r["class_name"] == c]
+        assert abs(sum(r["size"] for r in of if r["split"] == "train") / sum(r["size"] for r in of) - 0.7) < 0.02
+
+
+def test_side_by_side_placement_equals_one_by_one():
+    sizes, classes, goal = np.array([1.0, 2.0, 5.0, 3.0]), np.array([0, 0, 1, 2]), Sp.SplitGoal()
+    kinds = np.arange(400) % 4
+    order, chosen = Sp.place([np.random.default_rng([9, k]) for k in range(3)], kinds, sizes, classes, goal)
+    shares = np.array(goal.shares)
+    want = shares * np.bincount(classes[kinds], weights=sizes[kinds])[:, None]
+    for kind, split in zip(order, chosen, strict=True):
+        have = np.zeros((3, 3))
+        for g, s in zip(kind, split, strict=True):
+            def cost(at, n=sizes[g], b=classes[g], have=have):
+                more = have.copy()
+                more[b, at] += n
+                return (((more.sum(axis=0) - want.sum(axis=0)) / want.sum(axis=0)) ** 2).sum() + 2.0 * (((more[b] - want[b]) / want[b]) ** 2).sum()
+            costs = [cost(at) for at in range(3)]
+            assert costs[s] <= min(costs) + 1e-9
+            have[classes[g], s] += sizes[g]
+
+
+def test_registered_split_takes_all_images(spark, data):
+    from cepage.plans.analytics import x07_grouped_split
+    from cepage.sources.tables import held_images, table
+
+    groups = x07_grouped_split(spark, data).collect()
+    assert len({r["group_id"] for r in groups}) == len(groups) and {r["split"] for r in groups} == {"train", "validation", "test"}
+    assert sum(r["size"] for r in groups) == held_images(table(spark, data, "image_record")).count()
