@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
 from cepage.llm import bpe, components, hamming, leakage, overlap, reading, sampling, splits
-from cepage.session import scratch_path
+from cepage.session import Kept, scratch_path
 from cepage.sources.tables import held_images, held_rows, table
 
 #: Most bits in which the hashes of two near-duplicate images differ.
@@ -49,12 +49,17 @@ def _grouped_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    torn = splits.torn_components(_grouped_images(spark, sf_dir), "image_id", ["group_id"], "class_name", "split")
+    # Components are those of the ledger; what is torn is told by the records, so the ledger's splits don't count.
+    ledger = Kept(spark, "splits", sf_dir).read()
+    known = ledger if ledger is None else ledger.withColumn("split", F.lit(None).cast("string"))
+    torn = splits.torn_components(_grouped_images(spark, sf_dir), "image_id", ["group_id"], "class_name", "split", known)
     return torn.where(F.col("component").startswith("group_id:")).select(F.substring_index("component", ":", -1).alias("group_id"))
 
 
 def p3_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned, _ = splits.assign_splits(_grouped_images(spark, sf_dir), "image_id", ["group_id"], "class_name", "split")
+    kept = Kept(spark, "splits", sf_dir)
+    assigned, ledger = splits.assign_splits(_grouped_images(spark, sf_dir), "image_id", ["group_id"], "class_name", "split", kept.read())
+    kept.write(ledger)
     return assigned.select(F.col("id").alias("image_id"), "component", "class_name", "split", "status")
 
 

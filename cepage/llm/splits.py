@@ -32,7 +32,7 @@ def merge_components(ledger: DataFrame, links: DataFrame, in_one_task: int = 500
     fresh = nodes.join(ledger, "node", "left_anti").select("node", F.col("node").alias("component"))
     state = ledger.select("node", "component").unionByName(fresh)
     name = lambda end: state.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    between = links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    between = links.where("a <> b").join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     moved = merged_names(between, in_one_task).select(F.col("node").alias("component"), "root")
     return state.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
@@ -48,10 +48,6 @@ def component_records(records: DataFrame, record: str, keys: list[str], class_na
     )
     rows = rows.withColumn("nodes", F.when(F.size("nodes") > 0, F.col("nodes")).otherwise(F.array(F.concat(F.lit("record:"), F.col("id").cast("string")))))
     rows = rows.groupBy("id").agg(F.min(F.struct("nodes", "class_name")).alias("x"), F.min("split").alias("split")).select("id", "x.*", "split")
-    if len(keys) == 1 and ledger is None:
-        # One key links nothing: every key is its own component.
-        joined = rows.select("id", F.element_at("nodes", 1).alias("component"), "class_name", "split")
-        return joined, joined.select(F.col("component").alias("node"), "component").distinct()
     first = F.element_at("nodes", 1)
     links = cut(rows.select(first.alias("a"), F.explode("nodes").alias("b")).distinct())
     known = ledger if ledger is not None else rows.sparkSession.createDataFrame([], "node string, component string")
@@ -92,7 +88,8 @@ def _place(groups: dict[str, dict[str, int]], lack: dict[str, np.ndarray]) -> di
 def assign_splits(records: DataFrame, record: str, keys: list[str], class_name: str, split: str, ledger: DataFrame | None = None, proportions: dict[str, float] = PROPORTIONS, greedy: int = 5_000) -> tuple[DataFrame, DataFrame]:
     """(assignments, ledger): id, component, class_name, split, status; and node, component, split to persist.
 
-    ``split`` holds earlier splits of records (null for none); ``ledger`` is the table a former call returned.
+    ``split`` holds earlier splits of records (null for none); ``ledger`` is the table a former call returned. Nodes of
+    it that no record names any more stay in the new one.
     Null classes form a class of their own. An empty table gives two empty tables.
     """
     require_columns(records, (record, *keys, class_name, split))
@@ -120,7 +117,10 @@ def assign_splits(records: DataFrame, record: str, keys: list[str], class_name:
     decided = judged.join(filled, "component", "left").select("component", "status", F.coalesce("placed", F.element_at("earlier", 1)).alias("split"))
     decided = cut(decided)
     assigned = rows.drop("split").join(decided, "component").select("id", "component", "class_name", "split", "status")
-    return assigned, nodes.join(decided, "component").select("node", "component", "split")
+    named = nodes.join(decided.select("component", "split"), "component", "left")
+    if ledger is not None:
+        named = named.join(ledger.select("node", F.col("split").alias("__old")), "node", "left").withColumn("split", F.coalesce("split", "__old"))
+    return assigned, named.select("node", "component", "split")
 
 
 def torn_components(records: DataFrame, record: str, keys: list[str], class_name: str, split: str, ledger: DataFrame | None = None) -> DataFrame:

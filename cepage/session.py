@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import tempfile
@@ -115,6 +116,34 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+class Kept:
+    """A table that runs carry on, at a fixed path below the shared folder: one folder per version, the last whole one counts."""
+
+    def __init__(self, spark: SparkSession, name: str, source: str) -> None:
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/cepage/kept/{name}-{hashlib.sha256(os.path.abspath(source).encode() if '://' not in source else source.encode()).hexdigest()[:16]}"
+
+    def _versions(self) -> list[int]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(at):
+            return []
+        whole = (x.getPath() for x in fs.listStatus(at) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")))
+        return sorted(int(x.getName()) for x in whole)
+
+    def read(self) -> DataFrame | None:
+        """The table as the last run left it; None before the first."""
+        versions = self._versions()
+        return self.spark.read.parquet(f"{self.path}/{versions[-1]}") if versions else None
+
+    def write(self, df: DataFrame) -> None:
+        """Write the next version, then drop those before the one it was made from."""
+        versions = self._versions()
+        df.write.parquet(f"{self.path}/{versions[-1] + 1 if versions else 0}")
+        for old in versions[:-1]:
+            remove_path(self.spark, f"{self.path}/{old}")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as tasks can run at once, if a scan gives it fewer (few or small files)."""
     tasks = df.sparkSession.sparkContext.defaultParallelism

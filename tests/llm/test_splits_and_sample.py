@@ -110,3 +110,24 @@ def test_queries_run(spark, data, query):
 
     rows = QUERIES[query](spark, data).collect()
     assert rows and len(rows) == len({r["image_id"] for r in rows})
+
+
+def test_single_key_goes_through_the_component_table(spark):
+    ledger = spark.createDataFrame([("author:a", "author:a", "test"), ("author:gone", "author:gone", "train")], "node string, component string, split string")
+    got, after = assigned(spark, [("1", "a", None, "x", None), ("2", "b", None, "x", None)], ledger=ledger)
+    assert (got["1"]["split"], got["1"]["status"]) == ("test", "kept")
+    kept = {r["node"]: r["split"] for r in after.collect()}
+    assert kept == {"author:a": "test", "author:gone": "train", "author:b": got["2"]["split"]}
+
+
+def test_registered_assignment_keeps_its_splits_when_the_table_grows(spark, data, tmp_path):
+    from cepage.llm.queries import QUERIES
+
+    rows = spark.read.parquet(f"{data}/image_record.parquet").withColumn("split", F.lit(None).cast("string"))
+    some = rows.where("hash(group_id) % 3 = 0")
+    some.write.parquet(f"{tmp_path}/image_record.parquet")
+    place = lambda: {r["component"]: (r["split"], r["status"]) for r in QUERIES["p3_assign"](spark, str(tmp_path)).collect()}
+    first = place()
+    rows.where("hash(group_id) % 3 <> 0").write.mode("append").parquet(f"{tmp_path}/image_record.parquet")
+    second = place()
+    assert len(second) > len(first) > 10 and all(second[c] == (split, "kept") for c, (split, _) in first.items())
