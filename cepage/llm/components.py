@@ -83,9 +83,11 @@ def merge_forests(links: DataFrame, limit: int = 2_000_000, fan_in: int = 8) ->
         moved = moved.join(other, "root", "left").select(F.col("parent").alias("child"), F.coalesce("__up", "root").alias("root"))
         moved = moved.where("child <> root").repartition(max(2, math.ceil(held / limit)), "child")
         forest = cut(moved.mapInPandas(run, FOREST))
-    parts = forest.rdd.getNumPartitions()
-    while parts > 1:
-        parts = math.ceil(parts / fan_in)
+    # A partition may have flushed several pieces, so even a single one is merged once more.
+    parts, merged = forest.rdd.getNumPartitions(), False
+    while not merged:
+        parts = max(1, math.ceil(parts / fan_in))
+        merged = parts == 1
         forest = forest.repartition(parts, "child" if parts > 1 else F.lit(0)).mapInPandas(run, FOREST)
     forest = cut(forest)
     for to in reversed(pointers):

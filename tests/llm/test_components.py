@@ -59,3 +59,15 @@ def test_nulls_loops_repeats_and_empty(spark):
 def test_missing_column_is_named(spark):
     with pytest.raises(ValueError, match="b"):
         C.group_links(spark.createDataFrame([("x",)], "a string"))
+
+
+def test_pieces_of_a_single_partition_are_merged(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        chain = [(k, k + 1) for k in range(12)]
+        links = spark.createDataFrame(chain + chain[:8] + [(12, 100), (100, 101)], "u bigint, v bigint").coalesce(1)
+        found = C.merge_forests(links, limit=20).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, found)) == [(k, 0) for k in [*range(1, 13), 100, 101]]
