@@ -11,6 +11,7 @@ from cepage.operators import aggregates as A
 from cepage.operators import joins as J
 from cepage.operators import splitting
 from cepage.operators import windows as W
+from cepage.session import parallelism
 from cepage.sources.tables import held_images, table
 
 QUERIES: dict = {}
@@ -193,6 +194,16 @@ def f14_cosine_to_queries(spark, sf):
     return joined.select("a", "b", F.round(S.dot(F.col("va"), F.col("vb")), 5).alias("cosine"))
 
 
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b
+  ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""")
+def f14_cosine_to_all(spark, sf):
+    blocks = parallelism(spark)
+    vectors = table(spark, sf, "embeddings").select("vec_id", S.l2_normalised(F.col("embedding")).alias("v"))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("v").alias("va"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    every = vectors.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return asked.join(every, "block").where("a <> b").select("a", "b", F.round(S.dot(F.col("va"), F.col("vb")), 5).alias("cosine"))
+
+
 @query("""SELECT vec_id, list_reduce([(CASE WHEN embedding[i] > embedding[i + 1] THEN 1 ELSE 0 END)::BIGINT FOR i IN range(1, 33)], lambda a, b: a * 2 + b) AS bits FROM embeddings""")
 def f09_difference_bits(spark, sf):
     bits = F.slice(S.difference_bits(F.col("embedding")), 1, 32)

@@ -31,3 +31,9 @@ def test_entry_module(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+
+
+def test_cosine_search_meets_every_label(spark, data):
+    vectors = spark.read.parquet(f"{data}/embeddings.parquet")
+    pairs = QUERIES["f14_cosine_to_all"](spark, data).count()
+    assert pairs == vectors.where("vec_id % 50 = 0").count() * (vectors.count() - 1)
