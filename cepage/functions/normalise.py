@@ -32,13 +32,13 @@ def folded(c: Column) -> Column:
 def uuid_text(c: Column) -> Column:
     """Canonical UUID: lower case, hyphens, nothing around it.
 
-    Accepts braces, a urn:uuid: prefix, missing hyphens, any case and outer blanks. Blank is null.
-    Text that is no UUID names something all the same and is returned folded.
+    Accepts braces, a urn:uuid: prefix, missing hyphens, any case and outer blanks. Blank is null, also within
+    braces or after the prefix. Text that is no UUID names something all the same and is returned folded.
     """
     t = folded(c)
-    h = F.replace(F.translate(t, "{}()-", ""), F.lit("urn:uuid:"), F.lit(""))
+    h = stripped(F.replace(F.translate(t, "{}()-", ""), F.lit("urn:uuid:"), F.lit("")))
     canonical = F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    return F.when(h.rlike("^[0-9a-f]{32}$"), canonical).otherwise(t)
+    return F.when(h.rlike("^[0-9a-f]{32}$"), canonical).when(h != "", t)
 
 
 def hash64(c: Column) -> Column:

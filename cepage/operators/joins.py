@@ -37,6 +37,19 @@ def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], required: bo
     return joined.drop("__found")
 
 
+def skewed_lookup(rows: DataFrame, table: DataFrame, key: str, counted: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """Inner join of rows with ``table``, unique by key, whose column ``counted`` says how many rows have the key.
+
+    Keys of more than ``hot_rows`` rows (so at most one per ``hot_rows`` rows) are sent to all tasks; only the others
+    are shuffled. Both sides are read twice if there are such keys, so they should lie in written tables.
+    """
+    hot = table.where(F.col(counted) > hot_rows)
+    if hot.isEmpty():
+        return rows.join(table.drop(counted), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(counted) <= hot_rows).drop(counted), key)
+    return rows.join(F.broadcast(hot.drop(counted)), key).unionByName(cold)
+
+
 def match_indicator(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full join with the column ``match``: both, left_only or right_only."""
     joined = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), keys, "full")

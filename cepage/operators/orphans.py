@@ -35,13 +35,24 @@ def key_integer(key: Column) -> tuple[Column, Column, Column]:
     return space, F.when(is_int, F.lit(0)).otherwise(half(1)), F.when(is_int, number).otherwise(half(17))
 
 
+def _relation_numbers(column: pa.Array, last: object) -> tuple[np.ndarray, list]:
+    """Numbers of the relations of sorted rows, 0 for the relation ``last`` (of the batch before), and the distinct ones in order."""
+    coded = column.dictionary_encode(null_encoding="encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    starts = np.append(True, codes[1:] != codes[:-1])
+    values = [coded.dictionary[int(k)].as_py() for k in codes[starts]]
+    first = 0 if values[0] == last else 1
+    return np.cumsum(starts) - 1 + first, values
+
+
 def beyond_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of batches sorted by (relation, key, parent first), the reference rows that no run of parent keys holds."""
-    last = None  # the greatest parent key so far
+    last, last_relation = None, object()  # the greatest parent key so far and its relation
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("__relation", *_KEY)])
+        number, values = _relation_numbers(batch.column("relation"), last_relation)
+        keys = np.column_stack([number, *(batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in _KEY)])
         parent = batch.column("__parent").to_numpy(zero_copy_only=False).astype(bool)
         held = keys[parent] if last is None else np.vstack([last, keys[parent]])
         seen = np.cumsum(parent) + (last is not None)  # parents at or before each row
@@ -58,7 +69,9 @@ def beyond_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in (3, 2, 1, 0):  # lexicographic reference > run end
                 beyond = (keys[rows, k] > end[:, k]) | ((keys[rows, k] == end[:, k]) & beyond)
             orphan[rows] = beyond
-            last = held[-1:]
+            last = held[-1:].copy()
+            last_relation = values[int(last[0, 0]) - int(number[0])] if last[0, 0] >= number[0] else last_relation
+            last[0, 0] = 0
         if orphan.any():
             yield batch.filter(pa.array(orphan))
 
@@ -75,11 +88,11 @@ def find_orphans(parents: DataFrame, references: DataFrame, partitions: int | No
     require_columns(references, ("relation", "ref_key"))
     spark = references.sparkSession
     space, hi, lo = key_integer(F.col("ref_key"))
-    keys = [space.cast("int").alias("__space"), hi.alias("__hi"), lo.alias("__lo"), F.coalesce(F.crc32(F.col("relation").cast("binary")), F.lit(-1)).alias("__relation")]
+    keys = [space.cast("int").alias("__space"), hi.alias("__hi"), lo.alias("__lo")]
     named = F.col("ref_key").isNotNull()
-    left = parents.where(named).select("relation", "ref_key").distinct().select(*keys, F.lit(True).alias("__parent"))
+    left = parents.where(named).select("relation", "ref_key").distinct().select("relation", *keys, F.lit(True).alias("__parent"))
     right = references.where(named).distinct().select(*keys, F.lit(False).alias("__parent"), *(f"`{c}`" for c in references.columns))
-    order = ("__relation", *_KEY)
+    order = ("relation", *_KEY)
     both = left.unionByName(right, allowMissingColumns=True).repartitionByRange(partitions or parallelism(spark), *order)
     both = both.sortWithinPartitions(*order, F.col("__parent").desc())
     out = both.mapInArrow(beyond_runs, both.schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
 from cepage.operators import compaction, orphans
+from cepage.plans import sql_text as Q
 from cepage.sources.tables import held_rows, table
 
 #: Child table, field and the relation (set of parent keys) that it refers to.
@@ -63,17 +64,10 @@ def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_packs": p6_packs}
 
 
-def _sql_uuid(c: str) -> str:
-    t = f"lower(trim({c}, chr(32)||chr(9)||chr(10)||chr(13)))"
-    h = f"replace(translate({t}, '{{}}()-', ''), 'urn:uuid:', '')"
-    canonical = "||'-'||".join(f"substr({h},{a},{n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
-    return f"CASE WHEN regexp_full_match({h}, '[0-9a-f]{{32}}') THEN {canonical} WHEN {t} <> '' THEN {t} END"
-
-
-HELD_SQL = f"SELECT DISTINCT {_sql_uuid('image_id')} AS image_id FROM image_record WHERE coalesce(lower(trim(validation_status)), '') <> 'deleted' AND {_sql_uuid('image_id')} IS NOT NULL"
-_REFS_SQL = " UNION ALL ".join(f"SELECT '{r}' AS relation, '{t}' AS child_table, '{f}' AS child_field, {_sql_uuid(f)} AS ref_key, strftime(ingested_at, '%Y-%m') AS month FROM {t}" for t, f, r in REFERENCES)
+HELD_SQL = f"SELECT DISTINCT {Q.uuid('image_id')} AS image_id FROM image_record WHERE coalesce(lower(trim(validation_status)), '') <> 'deleted' AND {Q.uuid('image_id')} IS NOT NULL"
+_REFS_SQL = " UNION ALL ".join(f"SELECT '{r}' AS relation, '{t}' AS child_table, '{f}' AS child_field, {Q.uuid(f)} AS ref_key, strftime(ingested_at, '%Y-%m') AS month FROM {t}" for t, f, r in REFERENCES)
 _ORPHANS_SQL = f"""WITH parent AS (SELECT 'image' AS relation, image_id AS ref_key FROM ({HELD_SQL})
-  UNION SELECT 'pair', {_sql_uuid('candidate_pair_id')} FROM candidate WHERE {_sql_uuid('candidate_pair_id')} IS NOT NULL),
+  UNION SELECT 'pair', {Q.uuid('candidate_pair_id')} FROM candidate WHERE {Q.uuid('candidate_pair_id')} IS NOT NULL),
 refs AS ({_REFS_SQL}),
 orphan AS (SELECT * FROM refs r WHERE ref_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM parent p WHERE p.relation = r.relation AND p.ref_key = r.ref_key)) """
 

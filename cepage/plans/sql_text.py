@@ -11,9 +11,9 @@ def folded(c: str) -> str:
 
 def uuid(c: str) -> str:
     t = folded(c)
-    h = f"replace(translate({t}, '{{}}()-', ''), 'urn:uuid:', '')"
+    h = f"trim(replace(translate({t}, '{{}}()-', ''), 'urn:uuid:', ''), {BLANKS})"
     canonical = "||'-'||".join(f"substr({h},{a},{n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
-    return f"CASE WHEN regexp_full_match({h}, '[0-9a-f]{{32}}') THEN {canonical} ELSE {t} END"
+    return f"CASE WHEN regexp_full_match({h}, '[0-9a-f]{{32}}') THEN {canonical} WHEN {h} <> '' THEN {t} END"
 
 
 def hash64(c: str) -> str:

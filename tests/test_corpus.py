@@ -25,6 +25,7 @@ def test_ids_hashes_digests_and_labels(spark):
     for f in (N.uuid_text, N.hash64, N.digest256, N.split_name, N.label, N.file_path):
         assert value(spark, f, None) is None and value(spark, f, " \t") is None
     assert value(spark, N.uuid_text, " Row 7 ") == "row 7"
+    assert [value(spark, N.uuid_text, x) for x in ("urn:uuid:", "{}", "{ }", " () ")] == [None] * 4
     assert value(spark, N.hash64, " 0xFFFFFFFFFFFFFFFF") == -1 and value(spark, N.hash64, "1f") == 31 and value(spark, N.hash64, "0" * 20 + "1f\t") == 31
     assert value(spark, N.hash64, "n/a") is None and value(spark, N.hash64, "1" * 17) is None
     assert value(spark, N.digest256, "SHA256:" + "AB" * 32) == "ab" * 32 and value(spark, N.digest256, "ab") is None
@@ -60,6 +61,20 @@ def test_orphans_against_sets(spark):
         assert orphan_keys(spark, parents, references, partitions) == want
 
 
+def test_orphans_of_many_relations_in_small_batches(spark):
+    rng = random.Random(5)
+    names = [None, "a", "b", "plumless", "buckeroo"]  # the last two have equal CRC32
+    parents = [(rng.choice(names), str(rng.randrange(60))) for _ in range(150)]
+    references = [(rng.choice(names), str(rng.randrange(60)), n) for n in range(400)]
+    want = sorted((n for r, k, n in references if (r, k) not in set(parents)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = O.find_orphans(spark.createDataFrame(parents, "relation string, ref_key string"), spark.createDataFrame(references, "relation string, ref_key string, n int"), 2)
+        assert sorted(x["n"] for x in found.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_orphans_of_empty_tables(spark):
     assert orphan_keys(spark, [], ["a", "1", None]) == [("1", 1), ("a", 0)]
     assert orphan_keys(spark, ["a"], []) == []
