@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
 from cepage.llm import bpe, components, hamming, leakage, overlap, reading, sampling, splits
+from cepage.plans import sql_text as Q
 from cepage.session import Kept, scratch_path
 from cepage.sources.tables import held_images, held_rows, table
 
@@ -114,36 +115,28 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_assign": p3_assign, "p7_sample": p7_sample, "p4_found": p4_found, "p4_report": p4_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
-_BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)"
-
-
-def _sql_uuid(c: str) -> str:
-    t = f"lower(trim({c}, {_BLANKS}))"
-    h = f"replace(translate({t}, '{{}}()-', ''), 'urn:uuid:', '')"
-    canonical = "||'-'||".join(f"substr({h},{a},{n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
-    return f"CASE WHEN regexp_full_match({h}, '[0-9a-f]{{32}}') THEN {canonical} WHEN {t} <> '' THEN {t} END"
-
-
-def _sql_hash(c: str) -> str:
-    t = f"regexp_replace(lower(trim({c}, {_BLANKS})), '^0x', '')"
-    return f"CASE WHEN regexp_full_match({t}, '0*[0-9a-f]{{1,16}}') THEN CAST(concat('0x', right(repeat('0', 16) || {t}, 16)) AS UBIGINT) END"
-
-
-_SPLIT_SQL = f"""CASE WHEN lower(trim(split, {_BLANKS})) IN ('train', 'training') THEN 'train'
-  WHEN lower(trim(split, {_BLANKS})) IN ('validation', 'valid', 'val', 'dev') THEN 'validation'
-  WHEN lower(trim(split, {_BLANKS})) IN ('test', 'testing') THEN 'test' END"""
-_DIGEST = f"regexp_replace(lower(trim(sha256, {_BLANKS})), '^(sha256:|0x)', '')"
 _HELD_SQL = f"""held AS (SELECT id, max(dh) AS dh, max(ph) AS ph, max(sha) AS sha, max(split) AS split, max(src) AS source_dataset, max(gid) AS gid FROM (
-  SELECT {_sql_uuid('image_id')} AS id, {_sql_hash('dhash')} AS dh, {_sql_hash('perceptual_hash')} AS ph, {_SPLIT_SQL} AS split, source_dataset AS src,
-    CASE WHEN regexp_full_match({_DIGEST}, '[0-9a-f]{{64}}') THEN {_DIGEST} END AS sha, {_sql_uuid('group_id')} AS gid
+  SELECT {Q.uuid('image_id')} AS id, {Q.hash64('dhash')} AS dh, {Q.hash64('perceptual_hash')} AS ph, {Q.split('split')} AS split, source_dataset AS src,
+    {Q.digest('sha256')} AS sha, {Q.uuid('group_id')} AS gid
   FROM image_record WHERE coalesce(lower(trim(validation_status)), '') <> 'deleted') WHERE id IS NOT NULL GROUP BY id)"""
 _OVERLAP_SQL = f"""WITH {_HELD_SQL}, overlap AS (SELECT e.id AS eval_id, t.id AS train_id FROM held e JOIN held t ON e.split IN ('validation', 'test') AND t.split = 'train'
   AND (e.sha = t.sha OR bit_count(xor(e.ph, t.ph)) <= 6)) """
 
+_BREAKS_SQL = "'[' || chr(13) || chr(8232) || chr(8233) || ']'"
+_UNSEEN_SQL = "'[' || chr(8203) || '-' || chr(8207) || chr(8288) || chr(65279) || chr(173) || ']'"
+_PROSE_SQL = f"""line AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(CASE WHEN contains(text, '<') THEN regexp_replace(text, '{reading.TAGS}', ' ', 'g') ELSE text END, {_UNSEEN_SQL}, '', 'g'),
+    {_BREAKS_SQL}, chr(10), 'g'), chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+  entry AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(line), '{reading.NO_LETTER}')) AS w FROM line
+    WHERE NOT (regexp_matches(line, '{reading.MARKS}', 's') AND regexp_matches(line, '{reading.NO_PROSE}', 's'))) WHERE w <> '' GROUP BY ALL),
+  total AS (SELECT doc_id, sum(c)::BIGINT AS n FROM entry GROUP BY doc_id HAVING sum(c) >= 15)"""
+
 ORACLES = {
+    "p10_coverage": f"""WITH {_PROSE_SQL}, ranked AS (SELECT w, rank() OVER (ORDER BY c DESC) AS g FROM (SELECT w, sum(c) AS c FROM entry JOIN total USING (doc_id) GROUP BY w)),
+  upto AS (SELECT doc_id, n, g, sum(c) OVER (PARTITION BY doc_id ORDER BY g) AS seen FROM entry JOIN total USING (doc_id) JOIN ranked USING (w))
+  SELECT doc_id, n AS n_words, min(g) AS coverage_rank FROM upto WHERE seen >= ceil(n * 8 / 10.0) GROUP BY ALL""",
     "p1_found": f"""WITH RECURSIVE {_HELD_SQL}, link AS (SELECT DISTINCT a, b FROM (
-  SELECT {_sql_uuid('candidate_pair_id')} AS pair, {_sql_uuid('image_id_a')} AS a, {_sql_uuid('image_id_b')} AS b FROM candidate)
-  WHERE a <> b AND a IN (SELECT id FROM held) AND b IN (SELECT id FROM held) AND pair IN (SELECT {_sql_uuid('candidate_pair_id')} FROM review_decision
+  SELECT {Q.uuid('candidate_pair_id')} AS pair, {Q.uuid('image_id_a')} AS a, {Q.uuid('image_id_b')} AS b FROM candidate)
+  WHERE a <> b AND a IN (SELECT id FROM held) AND b IN (SELECT id FROM held) AND pair IN (SELECT {Q.uuid('candidate_pair_id')} FROM review_decision
   WHERE lower(trim(decision)) IN ('confirmed_same_source', 'confirmed_related'))),
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT a AS node, a AS other FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.other)

@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,15 +129,39 @@ def test_levels_follow_the_labels(spark):
     assert reading.reading_levels(docs.limit(0), labels).collect() == []
 
 
-def test_prose_drops_logs_tables_and_lists(spark):
+def test_prose_drops_logs_tables_and_lists():
     text = "One fine day (n = 4, p = 2) it rained; we left; we ran; we hid.\na=1 b=2\nx;1;2;3\n- ESCA: 91\n{\"a\": 1}\n> said they\n| a | b |\nEnd."
-    row = spark.createDataFrame([(text,)], "t string").select(reading.prose(F.col("t"))).first()[0]
-    assert row.split("\n") == ["One fine day (n = 4, p = 2) it rained; we left; we ran; we hid.", "End."]
+    lines, of = reading.prose_lines(pa.array(["", text, "a<br>b\r\nc\u200bd\u2028e"]))
+    assert lines.to_pylist() == ["", "One fine day (n = 4, p = 2) it rained; we left; we ran; we hid.", "End.", "a b", "", "cd", "e"]
+    assert of.tolist() == [0, 1, 1, 2, 2, 2, 2]
 
 
-def test_coverage_ranks_against_brute_force(spark, data):
+def test_words_are_runs_of_letters_in_any_script():
+    rng = random.Random(4)
+    lines = ["", "a", "B1c", "one TWO", "r\u00c9sum\u00e9 m\u00b2 x\u00bd", "\u4e2d\u6587 abc", "'tis 9", *("".join(rng.choice("aZ\u00e9\u00df -1_.") for _ in range(rng.randrange(30))) for _ in range(300))]
+    found, of = reading.words_of(pa.array(["skipped", *lines]).slice(1))
+    got = sorted(zip(of.tolist(), found.to_pylist(), strict=True))
+    assert got == sorted((k, w) for k, line in enumerate(lines) for w in re.findall(r"[^\W\d_]+", line.lower()))
+    assert reading.words_of(pa.array([], pa.string()))[0].to_pylist() == []
+
+
+def test_texts_are_counted_alike_in_blocks_of_any_size():
+    texts = ["One two, two three. " * 9, None, "", "x " * 40, EASY * 30, "n o"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([t or "" for t in texts])], ["k", "t"])
+    whole = pa.Table.from_batches([*reading._counted(15)([batch])]).to_pydict()
+    for most in (1, 100, 700):
+        assert _sorted_words(reading._counted(15, most)([batch])) == _sorted_words(reading._counted(15)([batch]))
+    assert whole["__key"] == [0, 3, 4] and whole["n"][:2] == [36, 40]
+
+
+def _sorted_words(batches):
+    return [(r["__key"], sorted(zip(r["words"], r["counts"], strict=True)), r["n"]) for b in batches for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("hot_words", [20_000, 30, 1])
+def test_coverage_ranks_against_brute_force(spark, data, hot_words):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    got = {r["doc_id"]: (r["n_words"], r["coverage_rank"]) for r in reading.coverage_ranks(docs).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["coverage_rank"]) for r in reading.coverage_ranks(docs, hot_words=hot_words).collect()}
     texts = reading.texts_of(docs, "doc_id", "text", 15).toPandas()
     counts: dict = {}
     for ws, cs in zip(texts.words, texts.counts, strict=True):
