@@ -11,18 +11,16 @@ import regex
 _BLOCK_TAG = regex.compile(r"</?(?:p|br|div|li|ul|ol|tr|td|th|table|thead|tbody|h[1-6]|hr|pre|blockquote|section|article|title|body|head|html)\b[^<>]*>", regex.I)
 _TAG = regex.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", regex.S)
 _BROKEN = regex.compile(r"(?<=[^\W_])(?:-|\u2010|\u2011|\u00ad)[^\S\n]*\r?[\n\u2028\u2029\r]\s*(?=[^\W_])")
+#: What every text with a broken word matches, also before its entities and tags are resolved.
+HYPHEN_AT_END = "[-\u2010\u2011\u00ad&]"
 _UNSEEN = regex.compile(r"[\p{M}\p{Cf}\ufe00-\ufe0f]+")
 _WORD = regex.compile(r"[^\W_]+(?:\x01[^\W_]+)*")
 
 
-def words(text: str | None, known=frozenset()) -> list[str]:
-    """Runs of letters and digits without regard to case, accents, width, markup and invisible characters.
-
-    A word broken by a hyphen at a line's end counts as one word if ``known`` has the joined word, else as two.
-    Null and empty texts have no words.
-    """
+def _runs(text: str | None) -> tuple[list[str], bool]:
+    """(words, whether some are broken at a line's end; these hold a mark)."""
     if not text:
-        return []
+        return [], False
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
@@ -30,8 +28,17 @@ def words(text: str | None, known=frozenset()) -> list[str]:
     text = _BROKEN.sub("\x01", text)
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
-    found = _WORD.findall(text.casefold())
-    if "\x01" not in text:
+    return _WORD.findall(text.casefold()), "\x01" in text
+
+
+def words(text: str | None, known=frozenset()) -> list[str]:
+    """Runs of letters and digits without regard to case, accents, width, markup and invisible characters.
+
+    A word broken by a hyphen at a line's end counts as one word if ``known`` has the joined word, else as two.
+    Null and empty texts have no words.
+    """
+    found, broken = _runs(text)
+    if not broken:
         return found
     out: list[str] = []
     for w in found:
@@ -40,3 +47,9 @@ def words(text: str | None, known=frozenset()) -> list[str]:
         else:
             out += w.split("\x01")
     return out
+
+
+def broken_words(text: str | None) -> list[str]:
+    """The words that stand broken at a line's end, joined."""
+    found, broken = _runs(text)
+    return [w.replace("\x01", "") for w in found if "\x01" in w] if broken else []

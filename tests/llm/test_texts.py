@@ -87,13 +87,39 @@ def test_leaks_against_brute_force(spark):
     df = spark.createDataFrame([(*d, 0, "x") for d in docs + docs[:9] + [(None, docs[9][1])]], "doc_id bigint, text string, item_id int, __key string")
     it = spark.createDataFrame([(*i, 0) for i in items + items[:2]], "item_id bigint, text string, doc_id int")
     want = {(d, i) for d, t in docs if t for i, s in items if s and plain_leaks(t, s)}
-    for block in (5000, 4):
-        got = [tuple(r) for r in leakage.find_leaks(df, it, item_block=block).collect()]
+    for options in ({}, {"item_bytes": 0}, {"item_bytes": 0, "hot_rows": 20}):
+        got = [tuple(r) for r in leakage.find_leaks(df, it, **options).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert len(want) > 30
     assert leakage.find_leaks(df.limit(0), it).collect() == [] and leakage.find_leaks(df, it.limit(0)).collect() == []
 
 
+def test_leaks_of_items_of_every_length():
+    """Reworked stretches that keep just four fifths of the words, with fillers between neighbours."""
+    rng = random.Random(9)
+    for n in range(1, 41):
+        item = [f"w{k}" for k in range(n)]
+        index = leakage.Items([(1, " ".join(item))])
+        least, stretch = -(-n * 4 // 5), n * 4 // 3
+        for trial in range(12):
+            kept = sorted(rng.sample(range(n), least - (trial % 4 == 3)))
+            body = [item[k] for k in kept]
+            for _ in range(stretch - least + (trial % 4 == 2)):
+                body.insert(rng.randrange(1, len(body) + 1), "filler")
+            text = " ".join(["so", *body, "it", "ends"])
+            assert bool(index.leaks(text)) == plain_leaks(text, " ".join(item)), (n, text)
+
+
+def test_leaks_across_broken_lines_alike_both_ways(spark):
+    items = [(1, "the downy mildew of the vine spreads in warm wet nights from leaf to leaf quickly"), (2, "a two step rule")]
+    docs = [(1, "x the downy mil-\ndew of the vine spreads in warm wet nights from leaf y"), (2, "a two-\nstep rule"), (3, "a twos-\ntep rule"), (4, "the <b>dow</b>ny mildew of the vi-\r\nne spreads in warm wet ni-\nghts from leaf")]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for item_bytes in (1 << 20, 0):
+        assert sorted(tuple(r) for r in leakage.find_leaks(df, it, item_bytes=item_bytes).collect()) == [(1, 1), (2, 2), (4, 1)]
+    with pytest.raises(ValueError):
+        leakage.find_leaks(df, it, item_bytes=0, known_bytes=1)
+
+
 def test_winnowing_keeps_a_print_of_every_window():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 40, 300).astype(np.uint64)
