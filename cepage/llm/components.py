@@ -7,8 +7,10 @@ smallest neighbour root, nodes are replaced by what they point at, and the (smal
 into bounded partitions again. Node keys are 64-bit hashes, so pointers follow a random order and chains stay short
 whatever the order of the ids; a collision is found by a check and answered by another seed.
 
-Every level is written to the shared folder, so a lost executor costs one level at most. No task and no driver
-ever holds more than ``limit`` links; a component may be of any size.
+Every contraction and the merged forest are written to the shared folder, so a lost executor costs one of them at
+most. No task and no driver ever holds more than ``limit`` links; a component may be of any size: links are cut
+into partitions by both ends, so those of a hub are spread, and whatever is looked up by root (a pointer, a group's
+smallest id) is sent to all tasks for the few roots of more than ``hot_rows`` nodes, and joined for the others.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cepage.functions.frames import require_columns
+from cepage.operators.joins import skewed_lookup
 from cepage.session import cut
 
 FOREST = "child bigint, root bigint"
@@ -70,7 +73,15 @@ def _forests(limit: int):
     return run
 
 
-def merge_forests(links: DataFrame, limit: int = 2_000_000, fan_in: int = 8) -> DataFrame:
+def _end_of(rows: DataFrame, key: str, table: DataFrame, hot_rows: int) -> DataFrame:
+    """``rows`` with ``key`` replaced by what ``table`` (key, end) has for it, if anything; keys of many rows are no hot spots."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    ends = cut(counted.join(table, key, "left").select(key, F.coalesce("end", key).alias("__end"), "__n"))
+    found = skewed_lookup(rows, ends, key, "__n", hot_rows)
+    return found.withColumn(key, F.col("__end")).select(*rows.columns)
+
+
+def merge_forests(links: DataFrame, limit: int = 2_000_000, fan_in: int = 8, hot_rows: int = 1_000_000) -> DataFrame:
     """(child, root) of every node that is not its component's root, for links (two bigint columns)."""
     run = _forests(limit)
     forest = cut(links.mapInPandas(run, FOREST))
@@ -78,10 +89,9 @@ def merge_forests(links: DataFrame, limit: int = 2_000_000, fan_in: int = 8) ->
     while (held := forest.count()) > limit:
         to = cut(forest.groupBy("child").agg(F.min("root").alias("parent")))
         pointers.append(to)
-        moved = forest.join(to, "child").select("parent", "root")
-        other = to.select(F.col("child").alias("root"), F.col("parent").alias("__up"))
-        moved = moved.join(other, "root", "left").select(F.col("parent").alias("child"), F.coalesce("__up", "root").alias("root"))
-        moved = moved.where("child <> root").repartition(max(2, math.ceil(held / limit)), "child")
+        moved = forest.join(to, "child").select(F.col("parent").alias("child"), "root")
+        moved = _end_of(moved, "root", to.select(F.col("child").alias("root"), F.col("parent").alias("end")), hot_rows)
+        moved = moved.where("child <> root").repartition(max(2, math.ceil(held / limit)), "child", "root")
         forest = cut(moved.mapInPandas(run, FOREST))
     # A partition may have flushed several pieces, so even a single one is merged once more.
     parts, merged = forest.rdd.getNumPartitions(), False
@@ -91,14 +101,14 @@ def merge_forests(links: DataFrame, limit: int = 2_000_000, fan_in: int = 8) ->
         forest = forest.repartition(parts, "child" if parts > 1 else F.lit(0)).mapInPandas(run, FOREST)
     forest = cut(forest)
     for to in reversed(pointers):
-        ends = forest.select(F.col("child").alias("parent"), F.col("root").alias("__end"))
-        below = to.join(ends, "parent", "left").select("child", F.coalesce("__end", "parent").alias("root"))
+        ends = forest.select(F.col("child").alias("parent"), F.col("root").alias("end"))
+        below = _end_of(to, "parent", ends, hot_rows).select("child", F.col("parent").alias("root"))
         above = forest.join(to, "child", "left_anti")
         forest = cut(below.unionByName(above).where("child <> root"))
     return forest
 
 
-def group_links(links: DataFrame, a: str = "a", b: str = "b", limit: int = 2_000_000, fan_in: int = 8) -> DataFrame:
+def group_links(links: DataFrame, a: str = "a", b: str = "b", limit: int = 2_000_000, fan_in: int = 8, hot_rows: int = 1_000_000) -> DataFrame:
     """One row per linked record: node, and as component the smallest node of all that it is linked to.
 
     Links with a null end or two equal ends are passed over, repeated and turned links change nothing, further
@@ -116,9 +126,7 @@ def group_links(links: DataFrame, a: str = "a", b: str = "b", limit: int = 2_000
     else:
         raise RuntimeError("the hashes of the nodes collide under every seed")
     keyed = ends.select(key(F.col("__a")).alias("u"), key(F.col("__b")).alias("v"))
-    forest = merge_forests(keyed, limit, fan_in)
-    rooted = nodes.join(forest.select(F.col("child").alias("key"), "root"), "key", "left").select("node", F.coalesce("root", "key").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("node").alias("component"))
-    return rooted.join(first, "root").select("node", "component")
-
-
+    forest = merge_forests(keyed, limit, fan_in, hot_rows)
+    rooted = cut(nodes.join(forest.select(F.col("child").alias("key"), "root"), "key", "left").select("node", F.coalesce("root", "key").alias("root")))
+    first = cut(rooted.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")))
+    return skewed_lookup(rooted, first, "root", "n", hot_rows).select("node", "component")

@@ -47,6 +47,7 @@ def test_chains_stars_and_random_links_in_bounded_partitions(spark, limit):
     edges = chain + star + some + [(b, a) for a, b in some] + chain[:10]
     random.shuffle(edges)
     assert run(spark, edges, limit=limit, fan_in=2) == brute(edges)
+    assert run(spark, edges, limit=limit, fan_in=2, hot_rows=9) == brute(edges)
 
 
 def test_nulls_loops_repeats_and_empty(spark):
