@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cepage.functions.frames import require_columns
 from cepage.llm.bits import by_bucket, flip_masks, ranges
+from cepage.llm.expand import hot_classes, with_members
 from cepage.session import cut, parallelism
 
 #: A block's bits, by the most bits that may differ: a partition can be no finer than its blocks.
@@ -133,13 +134,16 @@ def even_cuts(first: int, blocks: int, parts: int) -> tuple[tuple[int, int], ...
     return tuple((a, b - a) for a, b in zip(ends, ends[1:], strict=False))
 
 
-def allocate(histograms: np.ndarray, rows: int, total: int) -> list[Part]:
+def allocate(histograms: np.ndarray, rows: int, total: int, probing: int | None = None, pairs: float | None = None) -> list[Part]:
     """The cheapest partitions and thresholds for hashes within ``total`` bits of each other.
 
+    All ``rows`` are copied; ``probing`` of them (all if not given) look up the others, which makes ``pairs`` in all.
+
     Thresholds plus one add up to ``total`` + 1 (a partition with none is left out), which is what the generalised
     pigeonhole asks for. The chance of two hashes to lie within t bits in a partition comes from the blocks' exact
     distance distributions, folded together.
     """
+    probing, pairs = rows if probing is None else probing, rows * rows / 2 if pairs is None else pairs
     many, values = histograms.shape
     width = values.bit_length() - 1
     distance = np.bitwise_count(np.arange(values)[:, None] ^ np.arange(values)[None, :])
@@ -160,7 +164,7 @@ def allocate(histograms: np.ndarray, rows: int, total: int) -> list[Part]:
                     if u:
                         subs = even_cuts(first, blocks, u)
                         probes = sum(sum(math.comb(width * (blocks - n), e) for e in range(u)) for _, n in subs)
-                        more += rows * (u * COPY_S + probes * PROBE_S) + rows * rows / 2 * float(folded[:u].sum()) * CANDIDATE_S
+                        more += rows * u * COPY_S + probing * probes * PROBE_S + pairs * float(folded[:u].sum()) * CANDIDATE_S
                         chosen = [*parts, Part(first, blocks, u - 1, subs, width)]
                     if used + u not in after or more < after[used + u][0]:
                         after[used + u] = (more, chosen)
@@ -178,8 +182,12 @@ class Plan:
     splits: dict[tuple[int, int, int], int]
 
 
+#: Bits of a bucket: its tag, the numbers of two blocks, and a value of its sub-block (folded where it is longer).
+BLOCK_BITS, VALUE_BITS = 12, 26
+
+
 def tag_of(kind: int, part: int, sub: int) -> int:
-    """The upper fifteen bits of a bucket."""
+    """The upper thirteen bits of a bucket."""
     return (kind << 10) | (part << 5) | sub
 
 
@@ -197,7 +205,7 @@ def _copies(plans: dict[str, Plan], numbers: dict[str, int]):
                     for s, (first, blocks) in enumerate(part.subs):
                         w = part.width
                         value = (g >> np.uint64(w * first)) & np.uint64((1 << (w * blocks)) - 1)
-                        value = (value ^ (value >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
+                        value = (value ^ (value >> np.uint64(VALUE_BITS)) ^ (value >> np.uint64(2 * VALUE_BITS))) & np.uint64((1 << VALUE_BITS) - 1)
                         tag = tag_of(numbers[kind], p, s)
                         ways = np.ones(len(g), np.int64)
                         for (b, v), n in {(k[1], k[2]): n for k, n in plan.splits.items() if k[0] == tag}.items():
@@ -209,7 +217,7 @@ def _copies(plans: dict[str, Plan], numbers: dict[str, int]):
                             at = np.flatnonzero(ways == n)
                             for other in range(int(n)):
                                 lo, hi = np.minimum(salt[at], other), np.maximum(salt[at], other)
-                                bucket = (((tag << 16) | (lo << 8) | hi) << 32) | value[at].astype(np.int64)
+                                bucket = (((tag << 2 * BLOCK_BITS) | (lo << BLOCK_BITS) | hi) << VALUE_BITS) | value[at].astype(np.int64)
                                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(g[at].view(np.int64)), pa.array(salt[at].astype(np.int16))], ["bucket", "g", "salt"])
 
     return run
@@ -234,7 +242,8 @@ def _search(plans: dict[str, Plan], numbers: dict[str, int], chunk: int, block:
         key = (dense.astype(np.uint64) << np.uint64(width)) | value
         order = np.argsort(key, kind="stable")
         key, g, salt, bucket = key[order], g[order], salt[order], bucket[order]
-        crossed = ((bucket >> 40) & 255) != ((bucket >> 32) & 255)
+        block_of = lambda shift: (bucket >> shift) & ((1 << BLOCK_BITS) - 1)
+        crossed = block_of(VALUE_BITS + BLOCK_BITS) != block_of(VALUE_BITS)
         for mask in flip_masks(width, part.threshold):
             if mask:
                 wanted = key ^ mask
@@ -261,7 +270,7 @@ def _search(plans: dict[str, Plan], numbers: dict[str, int], chunk: int, block:
         for table in by_bucket(batches, "bucket", chunk):
             bucket, g = table.column("bucket").to_numpy(), table.column("g").to_numpy().view(np.uint64)
             salt = table.column("salt").to_numpy()
-            tags = bucket >> 48
+            tags = bucket >> (2 * BLOCK_BITS + VALUE_BITS)
             for tag in np.unique(tags):
                 kind, p, s = kinds[int(tag) >> 10], (int(tag) >> 5) & 31, int(tag) & 31
                 plan, at = plans[kind], tags == tag
@@ -299,7 +308,9 @@ def make_plans(classes: DataFrame, totals: dict[str, int], max_bucket: int = 2_0
                 # A bucket's rows are at most those of its rarest block.
                 if all((h[b] > max_bucket).any() for b in range(first, first + blocks)):
                     b = min(range(first, first + blocks), key=lambda b: h[b].max())
-                    splits |= {(tag_of(number, p, s), b, int(v)): min(255, math.ceil(h[b, v] / max_bucket)) for v in np.flatnonzero(h[b] > max_bucket)}
+                    splits |= {(tag_of(number, p, s), b, int(v)): math.ceil(h[b, v] / max_bucket) for v in np.flatnonzero(h[b] > max_bucket)}
+        if len(totals) > 8 or max(splits.values(), default=1) >= 1 << BLOCK_BITS:
+            raise ValueError(f"max_bucket = {max_bucket} is too small for these hashes, or there are more than eight kinds")
         plans[kind] = Plan(order[kind], parts, total, splits)
     return plans
 
@@ -338,9 +349,12 @@ def near_duplicates(records: DataFrame, record: str, hashes: dict[str, str], tot
     return pairs.unionByName(copies), members
 
 
-def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct pairs of records (a < b) behind pairs of classes."""
-    one = members.select("kind", F.col("h").alias("h_a"), F.col("id").alias("__a"))
-    two = members.select("kind", F.col("h").alias("h_b"), F.col("id").alias("__b"))
-    both = pairs.join(one, ["kind", "h_a"]).join(two, ["kind", "h_b"]).where("__a <> __b")
+def expand_pairs(pairs: DataFrame, members: DataFrame, hot_rows: int = 200_000) -> DataFrame:
+    """Distinct pairs of records (a < b) behind pairs of classes; large classes are spread over several tasks."""
+    hot = cut(hot_classes(members.groupBy("kind", "h").agg(F.count("*").alias("n")), ["kind", "h"], "n", hot_rows))
+    both = pairs
+    for end in ("a", "b"):
+        named = members.select("kind", F.col("h").alias(f"h_{end}"), F.col("id").alias(f"__{end}"))
+        both = with_members(both, named, ["kind", f"h_{end}"], f"__{end}", hot.withColumnRenamed("h", f"h_{end}"))
+    both = both.where("__a <> __b")
     return both.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct()

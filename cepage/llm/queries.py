@@ -93,8 +93,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _split_records(spark, sf_dir)
-    return overlap.overlap_report(records, overlap.cross_split_overlaps(records, NEAR["perceptual_hash"]), ["split", "source_dataset"])
+    return overlap.overlap_report(_split_records(spark, sf_dir), ["split", "source_dataset"], NEAR["perceptual_hash"])
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +144,8 @@ SELECT node AS image_id, min(other) AS group_id_assigned FROM reach GROUP BY nod
   AND (bit_count(xor(a.dh, b.dh)) <= 4 OR bit_count(xor(a.ph, b.ph)) <= 6)""",
     "p3_found": f"WITH {_HELD_SQL} SELECT gid AS group_id FROM held WHERE gid IS NOT NULL GROUP BY gid HAVING count(DISTINCT split) > 1",
     "p4_found": _OVERLAP_SQL + "SELECT DISTINCT least(eval_id, train_id) AS image_id_a, greatest(eval_id, train_id) AS image_id_b FROM overlap",
-    "p4_report": _OVERLAP_SQL + """SELECT split, source_dataset, count(*) AS n_records, count(CASE WHEN id IN (SELECT eval_id FROM overlap) THEN 1 END) AS n_overlapping
-  FROM held WHERE split IN ('validation', 'test') GROUP BY split, source_dataset""",
+    "p4_report": _OVERLAP_SQL + f""", near AS (SELECT e.id, ~xor(e.ph, t.ph) AS x FROM held e JOIN held t ON e.split IN ('validation', 'test') AND t.split = 'train' AND bit_count(xor(e.ph, t.ph)) <= 6),
+  starts AS (SELECT id, {" & ".join(f"(x >> {k})" for k in range(8))} AS x FROM near), spans AS (SELECT id, bit_count(bit_or({" | ".join(f"((x << {k}) & 18446744073709551615::HUGEINT)" for k in range(8))})) AS covered FROM (SELECT id, x::HUGEINT AS x FROM starts) GROUP BY id),
+  own AS (SELECT id, split, source_dataset, CASE WHEN sha IN (SELECT sha FROM held WHERE split = 'train' AND sha IS NOT NULL) THEN 64 ELSE covered END AS covered FROM held LEFT JOIN spans USING (id) WHERE split IN ('validation', 'test'))
+  SELECT split, source_dataset, count(*) AS n_records, count(covered) AS n_overlapping, count(*) FILTER (WHERE covered = 64) AS n_whole, coalesce(sum(covered), 0)::BIGINT AS covered_places FROM own GROUP BY split, source_dataset""",
 }

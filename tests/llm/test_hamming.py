@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -106,28 +107,60 @@ def test_copies_nulls_repeats_extra_columns_and_empty(spark):
     assert H.expand_pairs(pairs, members).collect() == []
 
 
-@pytest.mark.parametrize("block_rows", [20_000_000, 60])
-def test_cross_split_overlaps_against_brute_force(spark, block_rows, monkeypatch):
+def spans_of(x):
+    """Places of the spans of at least eight set bits of a 64-bit number."""
+    found, k = set(), 0
+    while k < 64:
+        n = k
+        while n < 64 and x >> n & 1:
+            n += 1
+        if n - k >= 8:
+            found |= set(range(k, n))
+        k = max(n, k + 1)
+    return found
+
+
+@pytest.mark.parametrize("max_bucket, hot_rows, total", [(2_000_000, 200_000, 6), (9, 3, 6), (9, 3, 11), (2_000_000, 200_000, 0)])
+def test_cross_split_overlaps_against_brute_force(spark, max_bucket, hot_rows, total, monkeypatch):
     rng = random.Random(5)
     hs = hashes(360, 3)
     rows = [(f"r{k:03d}", rng.choice(["train", "validation", "test", None]), rng.choice(["d1", "d2", None, None, None, None, f"u{k}"]), signed(h) if k % 17 else None) for k, h in enumerate(hs)]
     original = O.shared_spans
-    monkeypatch.setattr(O, "shared_spans", lambda c, t: original(c, t, block_rows=block_rows, chunk=50, block=64))
+    monkeypatch.setattr(O, "shared_spans", lambda c, t: original(c, t, max_bucket=max_bucket, chunk=50, block=64))
     df = spark.createDataFrame([(*r, "x") for r in rows + rows[:20]], "id string, split string, digest string, h bigint, in_train string")
-    want = set()
+    want, cover = set(), {}
     for i, s, d, h in rows:
         for j, t, e, g in rows:
-            if s in ("validation", "test") and t == "train" and ((d is not None and d == e) or (h is not None and g is not None and ((h ^ g) % 2**64).bit_count() <= 6)):
-                want.add((i, j))
-    got = [(r["eval_id"], r["train_id"]) for r in O.cross_split_overlaps(df).collect()]
+            if s in ("validation", "test") and t == "train":
+                near = h is not None and g is not None and ((h ^ g) % 2**64).bit_count() <= total
+                whole = d is not None and d == e
+                if near or whole:
+                    want.add((i, j))
+                    cover[i] = cover.get(i, set()) | (set(range(64)) if whole else set()) | (spans_of(~(h ^ g) % 2**64) if near else set())
+    got = [(r["eval_id"], r["train_id"]) for r in O.cross_split_overlaps(df, total, hot_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
-    report = O.overlap_report(df.dropDuplicates(["id"]), spark.createDataFrame(got, "eval_id string, train_id string"), ["split"]).collect()
-    assert {r["split"]: r["n_overlapping"] for r in report} == {s: len({i for i, _ in want if dict((r[0], r[1]) for r in rows)[i] == s}) for s in ("validation", "test")}
+    report = {r["split"]: r for r in O.overlap_report(df, ["split"], total, hot_rows).collect()}
+    for s in ("validation", "test"):
+        own = [i for i, t, _, _ in rows if t == s]
+        hit = [len(cover[i]) for i in own if i in cover]
+        r = report[s]
+        assert (r["n_records"], r["n_overlapping"], r["n_whole"], r["covered_places"]) == (len(own), len(hit), hit.count(64), sum(hit))
+
+
+def test_seeds_follow_the_collection():
+    """Candidates per pair of texts fall as the collection grows."""
+    flat = np.ones((8, 256))
+    share = []
+    for rows in (10**4, 10**7, 10**11):
+        parts = H.allocate(flat * rows / 256, rows, 6, rows // 10, rows * rows * 0.09)
+        assert sum(p.threshold + 1 for p in parts) == 7
+        share.append(sum(sum(math.comb(8 * p.blocks, e) for e in range(p.threshold + 1)) / 2 ** (8 * p.blocks) for p in parts))
+    assert share[0] >= share[1] >= share[2] and share[2] < 1 / 100_000
 
 
 def test_overlaps_of_nothing(spark):
     df = spark.createDataFrame([], "id string, split string, digest string, h bigint")
-    assert O.cross_split_overlaps(df).collect() == []
+    assert O.cross_split_overlaps(df).collect() == [] and O.overlap_report(df, ["split"]).collect() == []
 
 
 def test_ranges_and_masks():
