@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -61,16 +62,20 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, shared by all executors.
 
-    Only where the setting is absent (tests on one machine) is a temporary folder made and set.
+    Only in local mode (tests on one machine) is a temporary folder made where the setting is absent; a cluster
+    without it is an error, since a folder of one machine would not do.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
-    if conf is None and current is None:
+    conf = spark.conf.get("spark.checkpoint.dir", None) or current
+    if conf is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="cepage-")
-        spark.conf.set("spark.checkpoint.dir", conf)
     if current is None:
         spark.sparkContext.setCheckpointDir(conf)
-    return (conf or current).rstrip("/")
+        # The context keeps the folder in one of its own name below; this is where tables of this library go.
+        _folders[spark.sparkContext.applicationId] = conf
+    return _folders.get(spark.sparkContext.applicationId, conf).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -136,6 +141,16 @@ class Kept:
         versions = self._versions()
         return self.spark.read.parquet(f"{self.path}/{versions[-1]}") if versions else None
 
+    def read_all(self) -> DataFrame | None:
+        """The rows of all versions, for tables that are only added to; None before the first."""
+        versions = self._versions()
+        return self.spark.read.parquet(*(f"{self.path}/{v}" for v in versions)) if versions else None
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows as a version of their own; what is there is neither read nor written again."""
+        versions = self._versions()
+        df.write.parquet(f"{self.path}/{versions[-1] + 1 if versions else 0}")
+
     def write(self, df: DataFrame) -> None:
         """Write the next version, then drop those before the one it was made from."""
         versions = self._versions()
