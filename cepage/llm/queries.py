@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
 from cepage.llm import bpe, components, hamming, leakage, overlap, reading, sampling, splits
 from cepage.plans import sql_text as Q
-from cepage.session import Kept, scratch_path
+from cepage.session import Kept, cut
 from cepage.sources.tables import held_images, held_rows, table
 
 #: Most bits in which the hashes of two near-duplicate images differ.
 NEAR = {"dhash": 4, "perceptual_hash": 6}
-#: Share of the held images that an epoch (year of first listing) selects; years not named take the default.
-RATES: dict[int, float] = {}
-DEFAULT_RATE = 0.10
+#: Share of the images that an epoch (year of first listing) selects, as the corpus grew; later years take the last rate.
+#: Rates never rise, so that a late listing of an earlier date cannot cost an image its place even without a registry.
+RATES = {2023: 0.12, 2024: 0.10}
+LAST_RATE = 0.08
 
 
 def _confirmed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,18 +65,80 @@ def p3_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.select(F.col("id").alias("image_id"), "component", "class_name", "split", "status")
 
 
+def _until_middle(image_record: DataFrame) -> DataFrame:
+    """Rows loaded up to the middle of the time in which rows were loaded: the first of two batches."""
+    t = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    ends = image_record.agg(F.min(t), F.max(t)).first()
+    return image_record.where(t <= (ends[0] + ends[1]) // 2) if ends[0] is not None else image_record
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assignments of the first batch, of all rows after it, ledger) with images linked by group and by digest."""
+    fields = {"group_id": N.uuid_text(F.col("group_id")), "digest": N.digest256(F.col("sha256")), "class_name": N.label(F.col("class_name"))}
+    rows = table(spark, sf_dir, "image_record")
+    earlier, ledger, assigned = None, None, None
+    for batch in (_until_middle(rows), rows):
+        images = held_images(batch, **fields).withColumn("split", F.lit(None).cast("string"))
+        earlier = assigned
+        assigned, ledger = splits.assign_splits(images, "image_id", ["group_id", "digest"], "class_name", "split", ledger)
+        assigned, ledger = cut(assigned), cut(ledger)
+    return earlier, assigned, ledger
+
+
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, assigned, _ = _two_batches(spark, sf_dir)
+    return assigned.select(F.col("id").alias("image_id"), "component", "class_name", "split", "status")
+
+
+def p3_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, assigned, _ = _two_batches(spark, sf_dir)
+    return assigned.select(F.col("id").alias("image_id"), "component")
+
+
+def p3_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    earlier, assigned, _ = _two_batches(spark, sf_dir)
+    both = earlier.select("id", F.col("split").alias("was")).join(assigned.select("id", "split", "status"), "id")
+    moved = ~F.col("split").eqNullSafe(F.col("was")) & (F.col("status") != "quarantined") | ~F.col("status").isin("kept", "quarantined")
+    return both.agg(F.count("*").alias("n_earlier"), F.count_if(moved).alias("n_moved"))
+
+
+def _first_listings(image_record: DataFrame) -> DataFrame:
+    rows = held_rows(image_record).select("image_id", N.label(F.col("class_name")).alias("class_name"), F.year("ingested_at").alias("year"))
+    return rows.groupBy("image_id").agg(F.max("class_name").alias("class_name"), F.min("year").alias("year"))
+
+
+def _epoch_rate() -> Column:
+    rate = F.lit(LAST_RATE)
+    for year, share in sorted(RATES.items(), reverse=True):
+        rate = F.when(F.col("year") <= year, share).otherwise(rate)
+    return rate
+
+
 def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = held_rows(table(spark, sf_dir, "image_record")).select("image_id", N.label(F.col("class_name")).alias("class_name"), F.year("ingested_at").alias("year"))
-    images = rows.groupBy("image_id").agg(F.max("class_name").alias("class_name"), F.min("year").alias("year"))
-    rate = F.lit(DEFAULT_RATE)
-    for year, share in RATES.items():
-        rate = F.when(F.col("year") == year, share).otherwise(rate)
-    path = scratch_path(spark, "registry")
-    sampling.register(images, "image_id", F.col("year"), rate, stratum="class_name").write.parquet(path)
-    chosen = sampling.select_sample(spark.read.parquet(path))
+    images = _first_listings(table(spark, sf_dir, "image_record"))
+    kept = Kept(spark, "registry", sf_dir)
+    known = kept.read_all()
+    new = sampling.newcomers(images, "image_id", F.col("year"), _epoch_rate(), known, stratum="class_name")
+    kept.append(new)
+    chosen = sampling.select_sample(kept.read_all())
+    if known is not None:  # what was registered before need not be held any more
+        chosen = chosen.join(images.select(F.col("image_id").alias("id")), "id", "left_semi")
     return chosen.select(F.col("id").alias("image_id"), F.col("stratum").alias("class_name"))
 
 
+def p7_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "image_record")
+    registry, members = None, []
+    for batch in (_until_middle(rows), rows):
+        new = sampling.newcomers(_first_listings(batch), "image_id", F.col("year"), _epoch_rate(), registry, stratum="class_name")
+        registry = cut(new if registry is None else registry.unionByName(new))
+        members.append(sampling.select_sample(registry).select("id", "first_epoch", "rate"))
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    earlier = registry.where(F.col("id").isNotNull())
+    lost = members[0].join(members[1], ["id", "first_epoch", "rate"], "left_anti")
+    return n(earlier, "n_registered").join(F.broadcast(n(lost, "n_lost")))
+
+
 def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = held_images(
         table(spark, sf_dir, "image_record"),
@@ -112,7 +175,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.coverage_ranks(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_assign": p3_assign, "p7_sample": p7_sample, "p4_found": p4_found, "p4_report": p4_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_assign": p3_assign, "p3_batches": p3_batches, "p3_merges": p3_merges, "p3_stays": p3_stays, "p7_sample": p7_sample, "p7_growth": p7_growth, "p4_found": p4_found, "p4_report": p4_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 _HELD_SQL = f"""held AS (SELECT id, max(dh) AS dh, max(ph) AS ph, max(sha) AS sha, max(split) AS split, max(src) AS source_dataset, max(gid) AS gid FROM (
   SELECT {Q.uuid('image_id')} AS id, {Q.hash64('dhash')} AS dh, {Q.hash64('perceptual_hash')} AS ph, {Q.split('split')} AS split, source_dataset AS src,
@@ -143,6 +206,15 @@ SELECT node AS image_id, min(other) AS group_id_assigned FROM reach GROUP BY nod
     "p2_found": f"""WITH {_HELD_SQL} SELECT a.id AS image_id_a, b.id AS image_id_b FROM held a JOIN held b ON a.id < b.id
   AND (bit_count(xor(a.dh, b.dh)) <= 4 OR bit_count(xor(a.ph, b.ph)) <= 6)""",
     "p3_found": f"WITH {_HELD_SQL} SELECT gid AS group_id FROM held WHERE gid IS NOT NULL GROUP BY gid HAVING count(DISTINCT split) > 1",
+    "p3_merges": f"""WITH RECURSIVE {_HELD_SQL}, own AS (SELECT id, list_filter(['group_id:' || gid, 'digest:' || sha], lambda x: x IS NOT NULL) AS n FROM held),
+  named AS (SELECT id, CASE WHEN len(n) > 0 THEN n ELSE ['record:' || id] END AS n FROM own), edge AS (SELECT DISTINCT n[1] AS a, n[2] AS b FROM named WHERE len(n) = 2),
+  both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+  cc(node, root) USING KEY (node) AS (SELECT DISTINCT unnest(n) AS node, node AS root FROM named
+    UNION SELECT e.b, min(cc.root) FROM cc JOIN both_ways e ON e.a = cc.node JOIN recurring.cc AS old ON old.node = e.b WHERE cc.root < old.root GROUP BY e.b)
+  SELECT id AS image_id, root AS component FROM named JOIN cc ON cc.node = n[1]""",
+    "p3_stays": f"""WITH middle AS (SELECT (epoch_us(min(ingested_at)) + epoch_us(max(ingested_at))) // 2 AS t FROM image_record)
+  SELECT count(DISTINCT {Q.uuid('image_id')}) AS n_earlier, 0::BIGINT AS n_moved FROM image_record, middle WHERE epoch_us(ingested_at) <= t AND coalesce(lower(trim(validation_status)), '') <> 'deleted'""",
+    "p7_growth": f"WITH {_HELD_SQL} SELECT count(*) AS n_registered, 0::BIGINT AS n_lost FROM held",
     "p4_found": _OVERLAP_SQL + "SELECT DISTINCT least(eval_id, train_id) AS image_id_a, greatest(eval_id, train_id) AS image_id_b FROM overlap",
     "p4_report": _OVERLAP_SQL + f""", near AS (SELECT e.id, ~xor(e.ph, t.ph) AS x FROM held e JOIN held t ON e.split IN ('validation', 'test') AND t.split = 'train' AND bit_count(xor(e.ph, t.ph)) <= 6),
   starts AS (SELECT id, {" & ".join(f"(x >> {k})" for k in range(8))} AS x FROM near), spans AS (SELECT id, bit_count(bit_or({" | ".join(f"((x << {k}) & 18446744073709551615::HUGEINT)" for k in range(8))})) AS covered FROM (SELECT id, x::HUGEINT AS x FROM starts) GROUP BY id),

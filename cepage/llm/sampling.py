@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cepage.functions.frames import require_columns
-from cepage.session import cut
 
 # Multipliers and key increments of the Philox generator with four words of 32 bits.
 _M0, _M1 = np.uint64(0xD2511F53), np.uint64(0xCD9E8D57)
@@ -54,21 +53,29 @@ def random_of(identifier: Column, seed: int) -> Column:
     return F.when(identifier.isNotNull(), draw(F.xxhash64(text), F.xxhash64(F.lit(1), text)))
 
 
-def register(records: DataFrame, record: str, epoch: Column, rate: Column, registry: DataFrame | None = None, stratum: str | None = None) -> DataFrame:
-    """The registry (id, stratum, first_epoch, rate) with the records it lacks; known ones stay as they are.
+def newcomers(records: DataFrame, record: str, epoch: Column, rate: Column, registry: DataFrame | None = None, stratum: str | None = None) -> DataFrame:
+    """Rows (id, stratum, first_epoch, rate) to add to the registry: those of records that it lacks.
 
     ``epoch`` and ``rate`` are columns over records. Of repeated new records the one of the smallest epoch counts.
-    Null ids are passed over; a null rate selects nothing. To persist the registry, write what is returned.
+    Null ids are passed over; a null rate selects nothing.
     """
     require_columns(records, (record,) if stratum is None else (record, stratum))
     group = F.col(f"`{stratum}`").cast("string") if stratum else F.lit(None).cast("string")
     rows = records.where(F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").alias("id"), group.alias("stratum"), epoch.alias("first_epoch"), rate.cast("double").alias("rate"))
     if registry is not None:
         rows = rows.join(registry.select("id"), "id", "left_anti")
-    new = rows.groupBy("id").agg(F.min(F.struct("first_epoch", "rate", "stratum")).alias("x")).select("id", "x.stratum", "x.first_epoch", "x.rate")
+    return rows.groupBy("id").agg(F.min(F.struct("first_epoch", "rate", "stratum")).alias("x")).select("id", "x.stratum", "x.first_epoch", "x.rate")
+
+
+def register(records: DataFrame, record: str, epoch: Column, rate: Column, registry: DataFrame | None = None, stratum: str | None = None) -> DataFrame:
+    """The registry (id, stratum, first_epoch, rate) with the records it lacks; known ones stay as they are.
+
+    See ``newcomers``. To persist the registry, write what is returned, or add the newcomers to what is there.
+    """
+    new = newcomers(records, record, epoch, rate, registry, stratum)
     return new if registry is None else registry.select(*new.columns).unionByName(new)
 
 
 def select_sample(registry: DataFrame, seed: int = 0) -> DataFrame:
     """The registry's rows that are selected."""
-    return cut(registry.withColumn("__u", random_of(F.col("id"), seed))).where(F.col("__u") < F.col("rate")).drop("__u")
+    return registry.where(random_of(F.col("id"), seed) < F.col("rate"))

@@ -2,14 +2,19 @@
 
 Records that share any of the given keys (author, source, group, ...) form a component. A persisted table holds
 the component and split of every key seen; new links between components are merged by hooking the larger name on
-the smaller and pointer jumping. A component with one earlier split keeps it, one without fills the deficits of
-the proportions, and one whose records or merged parts have several is quarantined: it is reported, loses its
-earlier splits and is assigned anew as a whole.
+the smaller and pointer jumping. A component is
+
+* kept, if it has one earlier split: it stays there;
+* new, if it has none, or torn, if its records were given several before any table knew it: it fills, as a whole,
+  the deficits of the proportions;
+* quarantined, if components of several splits in the table were merged: it is set aside without a split, its keys
+  keep theirs in the table, and so it stays until ``release`` says where it goes.
 
 Deficits are filled by class. The largest components (``greedy``, a bounded number) are placed one by one where
 they overfill least; all others are laid out by hash within their most frequent class, by prefix sums over hash
 buckets, and cut where the class's remaining deficits end, so the work is spread and no list of components or
-records is gathered anywhere. A component of a third of all records is one row here.
+records is gathered anywhere. A component of a third of all records is one row here, and what is looked up by its
+name is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cepage.functions.frames import require_columns
 from cepage.operators.components import merged_names
+from cepage.operators.joins import skewed_lookup
 from cepage.operators.splitting import deficits, lay_out
 from cepage.session import cut
 
@@ -47,25 +53,29 @@ def component_records(records: DataFrame, record: str, keys: list[str], class_na
         F.col(f"`{record}`").alias("id"), named.alias("nodes"), F.coalesce(F.col(f"`{class_name}`"), F.lit("")).alias("class_name"), F.col(f"`{split}`").alias("split")
     )
     rows = rows.withColumn("nodes", F.when(F.size("nodes") > 0, F.col("nodes")).otherwise(F.array(F.concat(F.lit("record:"), F.col("id").cast("string")))))
-    rows = rows.groupBy("id").agg(F.min(F.struct("nodes", "class_name")).alias("x"), F.min("split").alias("split")).select("id", "x.*", "split")
+    rows = cut(rows.groupBy("id").agg(F.min(F.struct("nodes", "class_name")).alias("x"), F.min("split").alias("split")).select("id", "x.*", "split"))
     first = F.element_at("nodes", 1)
     links = cut(rows.select(first.alias("a"), F.explode("nodes").alias("b")).distinct())
     known = ledger if ledger is not None else rows.sparkSession.createDataFrame([], "node string, component string")
     nodes = merge_components(known.select("node", "component"), links)
-    joined = rows.withColumn("node", first).join(nodes, "node").select("id", "component", "class_name", "split")
+    nodes = cut(nodes)
+    counted = cut(rows.groupBy(first.alias("node")).agg(F.count("*").alias("n")).join(nodes, "node"))
+    joined = skewed_lookup(rows.withColumn("node", first), counted, "node", "n").select("id", "component", "class_name", "split")
     return joined, nodes
 
 
 def judge_components(rows: DataFrame, nodes: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """component, its size, its earlier splits (at most three) and status: kept, new or quarantined."""
+    """component, its size, its earlier splits and status: kept, new, torn or quarantined."""
     sizes = rows.groupBy("component").agg(F.count("*").alias("n"), F.collect_set("split").alias("own"))
     if ledger is not None:
         earlier = ledger.where("split is not null").select("node", F.col("split").alias("s")).join(nodes, "node")
         sizes = sizes.join(earlier.groupBy("component").agg(F.collect_set("s").alias("old")), "component", "left")
-        # What the table says goes before what the records say.
-        sizes = sizes.withColumn("own", F.when(F.size("old") > 0, F.col("old")).otherwise(F.col("own"))).drop("old")
-    status = F.when(F.size("own") == 1, "kept").when(F.size("own") > 1, "quarantined").otherwise("new")
-    return sizes.select("component", "n", F.array_sort("own").alias("earlier"), status.alias("status"))
+    else:
+        sizes = sizes.withColumn("old", F.array().cast("array<string>"))
+    # What the table says goes before what the records say.
+    old = F.coalesce("old", F.array().cast("array<string>"))
+    status = F.when(F.size(old) > 1, "quarantined").when(F.size(old) == 1, "kept").when(F.size("own") > 1, "torn").when(F.size("own") == 1, "kept").otherwise("new")
+    return sizes.select("component", "n", F.array_sort(F.when(F.size(old) > 0, old).otherwise(F.col("own"))).alias("earlier"), status.alias("status"))
 
 
 def _place(groups: dict[str, dict[str, int]], lack: dict[str, np.ndarray]) -> dict[str, int]:
@@ -89,7 +99,7 @@ def assign_splits(records: DataFrame, record: str, keys: list[str], class_name:
     """(assignments, ledger): id, component, class_name, split, status; and node, component, split to persist.
 
     ``split`` holds earlier splits of records (null for none); ``ledger`` is the table a former call returned. Nodes of
-    it that no record names any more stay in the new one.
+    it that no record names any more stay in the new one. Records of quarantined components have a null split.
     Null classes form a class of their own. An empty table gives two empty tables.
     """
     require_columns(records, (record, *keys, class_name, split))
@@ -99,11 +109,11 @@ def assign_splits(records: DataFrame, record: str, keys: list[str], class_name:
     judged = cut(judge_components(rows, nodes, ledger))
     counts = cut(rows.groupBy("component", "class_name").agg(F.count("*").alias("k")).join(judged, "component"))
     kept = counts.where("status = 'kept'").groupBy("class_name", F.element_at("earlier", 1).alias("s")).agg(F.sum("k").alias("k")).collect()
-    free_rows = counts.where("status <> 'kept'").groupBy("class_name").agg(F.sum("k").alias("k")).collect()
+    free_counts = cut(counts.where("status in ('new', 'torn')"))
+    free_rows = free_counts.groupBy("class_name").agg(F.sum("k").alias("k")).collect()
     free = {r[0]: r[1] for r in free_rows}
     lack = deficits({(r[0], r[1]): r[2] for r in kept}, free, proportions)
-    free_counts = counts.where("status <> 'kept'")
-    top = judged.where("status <> 'kept'").orderBy(F.desc("n"), "component").limit(greedy).select("component")
+    top = judged.where("status in ('new', 'torn')").orderBy(F.desc("n"), "component").limit(greedy).select("component")
     groups: dict[str, dict[str, int]] = {}
     for r in free_counts.join(F.broadcast(top), "component", "left_semi").select("component", "class_name", "k").toLocalIterator():
         groups.setdefault(r[0], {})[r[1]] = r[2]
@@ -114,16 +124,23 @@ def assign_splits(records: DataFrame, record: str, keys: list[str], class_name:
     main = free_counts.groupBy("component", "n").agg(F.max_by("class_name", F.struct("k", "class_name")).alias("class_name"))
     small = main.join(F.broadcast(large), "component", "left_anti")
     filled = lay_out(small, lack, proportions).unionByName(large)
-    decided = judged.join(filled, "component", "left").select("component", "status", F.coalesce("placed", F.element_at("earlier", 1)).alias("split"))
-    decided = cut(decided)
-    assigned = rows.drop("split").join(decided, "component").select("id", "component", "class_name", "split", "status")
+    chosen = F.when(F.col("status") == "kept", F.element_at("earlier", 1)).otherwise(F.col("placed"))
+    decided = cut(judged.join(filled, "component", "left").select("component", "n", "status", chosen.alias("split")))
+    assigned = skewed_lookup(rows.drop("split"), decided, "component", "n").select("id", "component", "class_name", "split", "status")
     named = nodes.join(decided.select("component", "split"), "component", "left")
     if ledger is not None:
         named = named.join(ledger.select("node", F.col("split").alias("__old")), "node", "left").withColumn("split", F.coalesce("split", "__old"))
     return assigned, named.select("node", "component", "split")
 
 
+def release(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The ledger with quarantined components put where ``decisions`` (component, split) says; others stay as they are."""
+    require_columns(decisions, ("component", "split"))
+    said = decisions.groupBy("component").agg(F.min("split").alias("__said"))
+    return ledger.join(said, "component", "left").select("node", "component", F.coalesce("__said", "split").alias("split"))
+
+
 def torn_components(records: DataFrame, record: str, keys: list[str], class_name: str, split: str, ledger: DataFrame | None = None) -> DataFrame:
-    """Components whose records have several earlier splits (component, n, earlier)."""
+    """Components whose records, or merged parts, have several earlier splits (component, n, earlier)."""
     rows, nodes = component_records(records, record, keys, class_name, split, ledger)
-    return judge_components(rows, nodes, ledger).where("status = 'quarantined'").drop("status")
+    return judge_components(rows, nodes, ledger).where("status in ('torn', 'quarantined')").drop("status")
