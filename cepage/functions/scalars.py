@@ -58,10 +58,14 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), hamming(value(a), value(b))).otherwise(F.raise_error(F.lit("hashes differ in width")).cast("int"))
 
 
+def bits_to_number(bits: Column) -> Column:
+    """Booleans (an array of up to 64, first is highest) as a bigint."""
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.cast("bigint")))
+
+
 def bits_to_hex(bits: Column) -> Column:
     """Booleans (an array, first is highest, a multiple of four up to 64) as hexadecimal digits."""
-    number = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.cast("bigint")))
-    return F.lower(F.lpad(F.hex(number), F.size(bits) / 4, F.lit("0")))
+    return F.lower(F.lpad(F.hex(bits_to_number(bits)), F.size(bits) / 4, F.lit("0")))
 
 
 def difference_bits(values: Column) -> Column:

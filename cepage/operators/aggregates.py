@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cepage.operators.windows import interpolated_quantiles
 
 def seed_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, sample deviation (0 for one value) and the normal 95 % interval of the mean; nulls are dropped.
@@ -25,23 +26,32 @@ def population_moments(df: DataFrame, by: list[str], value: Column, weight: Colu
     return sums.select(*by, F.col("n").cast("double").alias("n"), mean.alias("mean"), F.sqrt(variance).alias("std"))
 
 
+def require_spread(moments: DataFrame) -> DataFrame:
+    """``moments``, raising when a deviation of zero is read, since nothing can be scaled by it."""
+    return moments.where(F.when(F.col("std") > 0, True).otherwise(F.raise_error(F.lit("a channel has no deviation")).cast("boolean")))
+
+
 def channel_moments(df: DataFrame, by: list[str], channels: Column) -> DataFrame:
-    """Population moments of every element of an array column."""
-    return population_moments(df.select(*by, F.posexplode(channels).alias("channel", "__v")).withColumn("__v", F.col("__v").cast("double")), [*by, "channel"], F.col("__v"))
+    """Population moments of every element of an array column; a channel without deviation raises."""
+    moments = population_moments(df.select(*by, F.posexplode(channels).alias("channel", "__v")).withColumn("__v", F.col("__v").cast("double")), [*by, "channel"], F.col("__v"))
+    return require_spread(moments)
 
 
 def latency_summary(df: DataFrame, by: list[str], repetition: str, latency: str, batch: int) -> DataFrame:
-    """Mean, deviations (over all and between repetition means), percentiles by interpolation, throughput, peak."""
+    """Mean, deviations (over all and between repetition means), percentiles by interpolation, throughput, peak.
+
+    Null group keys and groups without values have no row.
+    """
     each = df.groupBy(*by, repetition).agg(F.avg(latency).alias("rep_mean"), F.max(latency).alias("peak"))
     between = each.groupBy(*by).agg(F.coalesce(F.stddev_samp("rep_mean"), F.lit(0.0)).alias("std_between"), F.max("peak").alias("peak"), F.count("*").alias("repetitions"))
     over = df.groupBy(*by).agg(
         F.count(latency).alias("n"),
         F.avg(latency).alias("mean"),
         F.coalesce(F.stddev_samp(latency), F.lit(0.0)).alias("std"),
-        F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q"),
     )
-    joined = over.join(between, by)
-    return joined.select(*by, "n", "mean", "std", "std_between", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), F.try_divide(F.lit(batch * 1000.0), F.col("mean")).alias("throughput"), "peak", "repetitions")
+    quantiles = interpolated_quantiles(df, by, latency, {"median": 0.5, "p95": 0.95, "p99": 0.99})
+    joined = over.join(between, by).join(quantiles, by)
+    return joined.select(*by, "n", "mean", "std", "std_between", "median", "p95", "p99", F.try_divide(F.lit(batch * 1000.0), F.col("mean")).alias("throughput"), "peak", "repetitions")
 
 
 def mark_duplicates(df: DataFrame, key: str, value: Column, code: str, errors: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cepage.functions import fingerprints
 from cepage.functions import normalise as N
 from cepage.functions import scalars as S
+from cepage.functions.frames import partition_of
 from cepage.operators import aggregates as A
 from cepage.sources import files
 
@@ -60,10 +61,13 @@ def audit_manifest(manifest: DataFrame, digests: DataFrame, named: dict[str, Col
 
 
 def train_moments(manifest: DataFrame, images: DataFrame, path: str = "path") -> DataFrame:
-    """Channel means and population deviations over all pixels of the training images; ``path`` is their full path."""
+    """Channel means and population deviations over all pixels of the training images; ``path`` is their full path.
+
+    A channel without deviation raises, and so does a manifest without training images.
+    """
     local = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    train = manifest.where("split = 'train'").select(local(path).alias("__p"))
+    train = partition_of(manifest, "split", "train").select(local(path).alias("__p"))
     kept = fingerprints.pixel_moments(images).withColumn("__p", local("origin")).join(train, "__p", "left_semi")
     total = kept.groupBy("channel").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
-    return total.select("channel", "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("std"))
+    return A.require_spread(total.select("channel", "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("std")))

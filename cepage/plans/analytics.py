@@ -72,8 +72,7 @@ def a22_final_summary(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY event_type")
 def a25_quantiles(spark, sf):
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf, "events").groupBy("event_type").agg(q(0.025).alias("low"), q(0.975).alias("high"))
+    return _rounded(W.interpolated_quantiles(table(spark, sf, "events"), ["event_type"], "value", {"low": 0.025, "high": 0.975}))
 
 
 @query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean_loss, sum(l_quantity) AS samples, count(DISTINCT l_partkey) AS unique_items, count(l_partkey) - count(DISTINCT l_partkey) AS repeated_items FROM lineitem GROUP BY l_returnflag")
@@ -99,7 +98,7 @@ def w07_last_event(spark, sf):
 
 @query("""SELECT event_id, event_type, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE AS mean_rank FROM events""")
 def w03_average_rank(spark, sf):
-    return table(spark, sf, "events").select("event_id", "event_type", W.average_rank(["event_type"], "value").alias("mean_rank"))
+    return W.average_rank(table(spark, sf, "events").select("event_id", "event_type", "value"), ["event_type"], "value").drop("value")
 
 
 @query("""WITH r AS (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, k)::DOUBLE AS ra, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, k)::DOUBLE AS rb
@@ -120,7 +119,7 @@ def o05_top_overlap(spark, sf):
   SELECT user_id, round(sum(a) / nullif(max(x) - min(x), 0), 6) AS auc FROM s GROUP BY user_id""")
 def w08_trapezoid_area(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_id", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1e6).alias("x"), F.col("value").alias("y"))
-    return _rounded(W.trapezoid_area(rows, ["user_id"], "x", "y", "event_id"))
+    return _rounded(W.trapezoid_area(rows, ["user_id"], "x", "y", "event_id", allow_empty=True))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS x, value AS y FROM events), s AS (SELECT user_id, x, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM e WINDOW w AS (PARTITION BY user_id ORDER BY x, event_id)),
@@ -185,15 +184,6 @@ def j06_three_way(spark, sf):
     return table(spark, sf, "customer").join(nation, "c_nationkey").join(region, "n_regionkey").select("c_custkey", "n_name", "r_name")
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b
-  ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label""")
-def f14_cosine_to_queries(spark, sf):
-    vectors = table(spark, sf, "embeddings").select("vec_id", "label", S.l2_normalised(F.col("embedding")).alias("v"))
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va"))
-    joined = asked.join(vectors.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("vb")), "label").where("a <> b")
-    return joined.select("a", "b", F.round(S.dot(F.col("va"), F.col("vb")), 5).alias("cosine"))
-
-
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b
   ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""")
 def f14_cosine_to_all(spark, sf):
@@ -204,16 +194,15 @@ def f14_cosine_to_all(spark, sf):
     return asked.join(every, "block").where("a <> b").select("a", "b", F.round(S.dot(F.col("va"), F.col("vb")), 5).alias("cosine"))
 
 
-@query("""SELECT vec_id, list_reduce([(CASE WHEN embedding[i] > embedding[i + 1] THEN 1 ELSE 0 END)::BIGINT FOR i IN range(1, 33)], lambda a, b: a * 2 + b) AS bits FROM embeddings""")
+@query("""SELECT vec_id, list_reduce([(CASE WHEN embedding[i] > embedding[i + 1] THEN 1 ELSE 0 END)::BIGINT FOR i IN range(1, 64)], lambda a, b: a * 2 + b) AS bits FROM embeddings""")
 def f09_difference_bits(spark, sf):
-    bits = F.slice(S.difference_bits(F.col("embedding")), 1, 32)
-    return table(spark, sf, "embeddings").select("vec_id", F.conv(S.bits_to_hex(bits), 16, 10).cast("bigint").alias("bits"))
+    return table(spark, sf, "embeddings").select("vec_id", S.bits_to_number(S.difference_bits(F.col("embedding"))).alias("bits"))
 
 
-@query("""WITH m AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)) AS e FROM embeddings)
-  SELECT vec_id, (k - 1)::INT AS k, round(e[k] / list_sum(e), 6) AS softmax FROM m, range(1, 5) r(k)""")
+@query("""WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings)
+  SELECT vec_id, (k - 1)::INT AS k, round(e[k] / list_sum(e), 6) AS softmax FROM m, range(1, 65) r(k)""")
 def f21_softmax(spark, sf):
-    p = S.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")))
+    p = S.softmax(F.transform("embedding", lambda x: x.cast("double")))
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.transform(p, lambda x: F.round(x, 6))).alias("k", "softmax"))
 
 

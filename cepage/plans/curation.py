@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
 from cepage.functions import scalars as S
+from cepage.functions.frames import partition_of
 from cepage.operators import aggregates as A
 from cepage.operators import components as C
 from cepage.operators import joins as J
@@ -161,7 +162,7 @@ def p03_lookup(spark, sf):
 
 @query(_I + "SELECT source_row, image_id FROM images WHERE split = 'validation'")
 def p04_partition_filter(spark, sf):
-    return images(spark, sf).where("split = 'validation'").select("source_row", "image_id")
+    return partition_of(images(spark, sf), "split", "validation").select("source_row", "image_id")
 
 
 @query(f"WITH {_DEC} SELECT decision, count(*) AS n, count(DISTINCT candidate_pair_id) AS n_pairs FROM dec WHERE decision IN ('confirmed_same_source', 'confirmed_related') GROUP BY decision")

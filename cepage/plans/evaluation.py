@@ -198,4 +198,4 @@ def x09_bootstrap(spark, sf):
     rows = predictions(spark, sf, *LABELS, "seed", "group_id").withColumn("system", F.concat_ws("|", "model_name", "regime"))
     keys = ["seed", "image_id", "true_class", "group_id"]
     pairs = I.paired(rows, "system", comparisons(spark), keys, "predicted_class").where("predicted_class_left is not null and predicted_class_right is not null and group_id is not null")
-    return I.crossed_bootstrap(pairs, ["family", "left", "right"], "seed", "group_id", CLASSES, resamples=2000)
+    return I.crossed_bootstrap(pairs, ["family", "left", "right"], "seed", "group_id", CLASSES)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cepage.functions import scalars as S
+from cepage.functions.frames import partition_of
 from cepage.operators import aggregates as A
 from cepage.operators import components as C
 from cepage.operators import inference as I
@@ -95,6 +96,20 @@ def predictions(spark, rows):
     return spark.createDataFrame(rows, "c string, s int, g string, true_class int, predicted_class_left int, predicted_class_right int")
 
 
+def test_paired_matched_and_assembled(spark):
+    rows = [("a", 1, True), ("b", 1, False), ("a", 2, True), ("b", 3, True), ("c", 1, True), ("a", None, False)]
+    df = spark.createDataFrame(rows, "s string, k int, y boolean")
+    grid = I.comparison_grid(spark, ["a", "b"], ["f"])
+    pairs = I.paired(df, "s", grid, ["k"], "y")
+    assert {(r["k"], r["y_left"], r["y_right"]) for r in pairs.collect()} == {(1, True, False), (2, True, None), (3, None, True), (None, False, None)}
+    assert I.matched(pairs, ["family", "left", "right"], ["k"], "y").count() == 1
+    with pytest.raises(ValueError, match="repeated"):
+        I.matched(pairs.union(pairs), ["family", "left", "right"], ["k"], "y")
+    results = spark.createDataFrame([(3, "f", 0.04), (1, "g", 0.5), (2, "f", 0.01), (4, "f", None)], "i int, family string, p double")
+    got = [(r["i"], r["family_position"], r["position"], r["p_holm"]) for r in I.assembled(results, "i", "family", "p", []).orderBy("position").collect()]
+    assert got == [(1, 1, 1, 0.5), (2, 2, 2, 0.02), (3, 2, 3, 0.04), (4, 2, 4, None)]
+
+
 def test_bootstrap_of_equal_and_of_different_systems(spark):
     same = [("same", s, f"g{k % 7}", k % 3, (k * s) % 3, (k * s) % 3) for s in (1, 2) for k in range(40)]
     better = [("better", s, f"g{k % 7}", k % 3, k % 3, (k + s) % 3) for s in (1, 2) for k in range(40)]
@@ -113,9 +128,10 @@ def test_bootstrap_point_and_spread_do_not_depend_on_buckets(spark):
         return np.mean([2 * sum(r[3] == r[side] == k for r in chosen) / max(1, sum(r[3] == k for r in chosen) + sum(r[side] == k for r in chosen)) for k in range(3)])
 
     point = np.mean([f1([r for r in rows if r[1] == s], 4) - f1([r for r in rows if r[1] == s], 5) for s in (1, 2, 3)])
-    one_, many = (I.crossed_bootstrap(predictions(spark, rows), ["c"], "s", "g", 3, resamples=600, bucket_groups=n).first() for n in (1000, 4))
-    assert one_["difference"] == pytest.approx(point) and many["difference"] == pytest.approx(point)
-    assert one_["ci_low"] == pytest.approx(many["ci_low"], abs=0.05) and one_["ci_high"] == pytest.approx(many["ci_high"], abs=0.05)
+    one_, many = (I.crossed_bootstrap(predictions(spark, rows), ["c"], "s", "g", 3, resamples=600, task_groups=n).first() for n in (1000, 4))
+    assert one_["difference"] == pytest.approx(point)
+    for c in ("difference", "ci_low", "ci_high", "p_value", "resamples"):
+        assert one_[c] == pytest.approx(many[c], abs=1e-12)
     # The literal way: rows of drawn groups for every drawn seed.
     draw = random.Random(5)
     by = {}
@@ -246,9 +262,48 @@ def test_grouped_split_is_reproducible_and_feasible(spark):
 
 def test_sampling_ranks_and_trapezoid(spark):
     df = spark.createDataFrame([("a", f"k{k}", float(k), 1.0) for k in range(5)] + [("b", "z", 1.0, 1.0), ("a", None, 1.0, 1.0)], "c string, k string, x double, y double")
-    assert W.stratified_sample(df, "c", "k", 3, 1).groupBy("c").count().orderBy("c").collect() == [("a", 3), ("b", 1)]
-    areas = {r["c"]: r["auc"] for r in W.trapezoid_area(df, ["c"], "x", "y", "k").collect()}
+    assert W.stratified_sample(df, "c", "k", 3, 1, allow_short=True).groupBy("c").count().orderBy("c").collect() == [("a", 3), ("b", 1)]
+    with pytest.raises(Exception, match="fewer than 3 rows in b"):
+        W.stratified_sample(df, "c", "k", 3, 1).collect()
+    areas = {r["c"]: r["auc"] for r in W.trapezoid_area(df, ["c"], "x", "y", "k", allow_empty=True).collect()}
     assert areas == {"a": 1.0, "b": None}
+    with pytest.raises(Exception, match="no length"):
+        W.trapezoid_area(df, ["c"], "x", "y", "k").collect()
+
+
+def test_ranks_and_quantiles_of_ties_nulls_and_one_large_group(spark):
+    rng = random.Random(8)
+    rows = [("big" if k % 3 else rng.choice(["a", None]), k, float(rng.randrange(40)) if k % 11 else None) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {r["k"]: r["mean_rank"] for r in W.average_rank(df, ["g"], "v").collect()}
+    for g in ("big", "a", None):
+        own = sorted((v is not None, v or 0.0) for h, _, v in rows if h == g)
+        for h, k, v in rows:
+            if h == g:
+                at = [n for n, x in enumerate(own, 1) if x == (v is not None, v or 0.0)]
+                assert got[k] == sum(at) / len(at)
+    q = {r["g"]: r for r in W.interpolated_quantiles(df, ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    for g in ("big", "a", None):
+        own = [v for h, _, v in rows if h == g and v is not None]
+        assert [q[g][c] for c in ("low", "mid", "top")] == pytest.approx(np.quantile(own, [0.1, 0.5, 1.0]).tolist())
+    assert W.interpolated_quantiles(df.limit(0), ["g"], "v", {"x": 0.5}).collect() == []
+    assert W.average_rank(df.limit(0), ["g"], "v").collect() == []
+
+
+def test_weights_draws_partitions_and_deviations(spark):
+    df = spark.createDataFrame([("a", k) for k in range(6)] + [("b", 10), (None, 11)], "c string, k int")
+    for hot_rows in (2, 100):
+        weights = {r["k"]: r["weight"] for r in W.inverse_frequency(df, "c", hot_rows).collect()}
+        assert weights == {k: 1 / 6 for k in range(6)} | {10: 1.0}
+    weighted = W.inverse_frequency(df, "c")
+    drawn = [r["k"] for r in W.weighted_draws(weighted, "k", "weight", 4000, 7).collect()]
+    assert len(drawn) == 4000 and abs(drawn.count(10) / 4000 - 0.5) < 0.03 and set(drawn) == {*range(6), 10}
+    assert sorted(drawn) == sorted(r["k"] for r in W.weighted_draws(weighted.repartition(7), "k", "weight", 4000, 7).collect())
+    assert W.weighted_draws(weighted.limit(0), "k", "weight", 5, 7).collect() == []
+    with pytest.raises(ValueError, match="no rows with c = z"):
+        partition_of(df, "c", "z")
+    with pytest.raises(Exception, match="no deviation"):
+        A.channel_moments(spark.createDataFrame([("g", [1.0, 2.0]), ("g", [1.0, 3.0])], "g string, v array<double>"), ["g"], F.col("v")).collect()
 
 
 def test_provenance(spark, tmp_path):
