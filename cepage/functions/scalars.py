@@ -167,6 +167,11 @@ def rule_flags(rules: dict[str, Column], otherwise: str) -> Column:
     return F.when(F.size(held) > 0, F.array_join(held, ";")).otherwise(otherwise)
 
 
+def page_of(source_row: Column, per_page: int) -> Column:
+    """The page (from 1) that shows a row, by its place (from 0) in source order."""
+    return (F.floor(source_row / per_page) + 1).cast("int")
+
+
 def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
     """Dictionary lookup; ``default`` (the key itself if not given) for keys that are missing."""
     entries = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))

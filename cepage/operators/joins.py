@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cepage.functions import scalars as S
@@ -75,22 +76,65 @@ def ordered_pairs(df: DataFrame, keys: list[str], order: str, fields: list[str])
     return a.join(b, keys).where(F.col(f"{order}_a") < F.col(f"{order}_b"))
 
 
-def hamming_pairs(df: DataFrame, key: str, hashes: dict[str, int]) -> DataFrame:
-    """Pairs of keys (a < b) whose hashes (bigint columns, with the most bits that may differ) are close by any.
+def _stretches(most: int) -> tuple[list[tuple[int, int]], int]:
+    """(first and last bit of the stretches that 64 bits are cut into, bits that may differ in one): at ``most`` wrong
+    bits in all, some stretch has no more than its share."""
+    parts = min(4, most + 1)
+    ends = [64 * k // parts for k in range(parts + 1)]
+    return list(zip(ends, ends[1:], strict=False)), most // parts
+
+
+def _flips(bits: int, errors: int) -> list[int]:
+    """Numbers of ``bits`` bits with at most ``errors`` of them set."""
+    return [sum(1 << k for k in c) for e in range(errors + 1) for c in combinations(range(bits), e)]
+
 
-    Blocking in SQL: a 64-bit hash is cut into one block more than bits may differ, of which one must be equal.
-    Distances are null where a side has no hash; ``triggered_by`` names the hashes that are close.
+def close_hashes(hashes: DataFrame, most: int, hot_rows: int = 100_000) -> DataFrame:
+    """(ha, hb) of distinct hashes (column h, bigint), ha < hb, that differ in at most ``most`` bits (up to 11).
+
+    A hash is cut into four stretches (fewer for fewer wrong bits), one of which differs in a quarter of the bits at
+    most. Values of stretches with every such change are offered once, and met by the values as they are; the pair is
+    kept by the first stretch that is good enough, so no two tasks give it twice. Values that more than ``hot_rows``
+    hashes have are salted.
     """
-    def blocks(h: Column, most: int) -> Column:
-        ends = [64 * k // (most + 1) for k in range(most + 2)]
-        return F.array(*(F.struct(F.lit(k).alias("no"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1) if b - a < 63 else F.lit(-1)).alias("bits")) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))))
+    if not 0 <= most <= 11:
+        raise ValueError("hashes may differ in 0 to 11 bits")
+    cuts, errors = _stretches(most)
+    part = lambda h, k: F.shiftrightunsigned(h, cuts[k][0]).bitwiseAND(F.lit((1 << (cuts[k][1] - cuts[k][0])) - 1)) if len(cuts) > 1 else h
+    rows = hashes.where(F.col("h").isNotNull()).select("h").distinct()
+    values = rows.select("h", F.inline(F.array(*(F.struct(F.lit(k).alias("no"), part(F.col("h"), k).alias("bits")) for k in range(len(cuts))))))
+    hot = F.broadcast(values.groupBy("no", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("no", "bits", F.ceil(F.col("n") / hot_rows).cast("int").alias("ways")))
+    ways = F.coalesce("ways", F.lit(1))
+    asked = values.join(hot, ["no", "bits"], "left").select("no", "bits", F.col("h").alias("ha"), F.pmod(F.xxhash64("h"), ways).cast("int").alias("salt"))
+    changed = values.select("no", "h", F.explode(F.array(*(F.col("bits").bitwiseXOR(F.lit(m).cast("bigint")) for m in _flips(cuts[0][1], errors)))).alias("bits"))
+    offered = changed.join(hot, ["no", "bits"], "left").select("no", "bits", F.col("h").alias("hb"), F.explode(F.sequence(F.lit(0), ways - 1)).alias("salt"))
+    x = F.col("ha").bitwiseXOR(F.col("hb"))
+    close = asked.join(offered, ["no", "bits", "salt"]).where((F.col("ha") < F.col("hb")) & (F.bit_count(x) <= most))
+    first = F.lit(len(cuts))
+    for k in range(len(cuts) - 1, -1, -1):
+        first = F.when(F.bit_count(part(x, k)) <= errors, k).otherwise(first)
+    return close.where(first == F.col("no")).select("ha", "hb")
+
+
+def hamming_pairs(df: DataFrame, key: str, hashes: dict[str, int], hot_rows: int = 100_000) -> DataFrame:
+    """Pairs of keys (a < b) whose hashes (bigint columns, with the most bits that may differ) are close by any.
 
+    Hashes are compared once each, then their keys are looked up; keys of a hash that many share are salted. Distances
+    are null where a side has no hash; ``triggered_by`` names the hashes that are close.
+    """
     found = []
     for name, most in hashes.items():
-        rows = df.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key), F.col(name).alias("h"), F.inline(blocks(F.col(name), most)))
-        a, b = rows.toDF("a", "ha", "no", "bits"), rows.toDF("b", "hb", "no", "bits")
-        close = a.join(b, ["no", "bits"]).where((F.col("a") < F.col("b")) & (S.hamming(F.col("ha"), F.col("hb")) <= most))
-        found.append(close.select("a", "b"))
+        rows = df.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key), F.col(name).alias("h"))
+        same = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
+        pairs = close_hashes(rows.select("h"), most, hot_rows).unionByName(same)
+        hot = F.broadcast(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("h", F.ceil(F.col("n") / hot_rows).cast("int").alias("ways")))
+        ways = F.coalesce("ways", F.lit(1))
+        for end in ("a", "b"):
+            here = hot.withColumnRenamed("h", f"h{end}")
+            side = rows.select(F.col(key).alias(end), F.col("h").alias(f"h{end}")).join(here, f"h{end}", "left").withColumn("salt", F.pmod(F.xxhash64(end), ways).cast("int")).drop("ways")
+            pairs = pairs.join(here, f"h{end}", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways").join(side, [f"h{end}", "salt"]).drop("salt")
+        ordered = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found.append(ordered)
     pairs = reduce(DataFrame.union, found).distinct()
     side = lambda end: df.select(F.col(key).alias(end), *(F.col(h).alias(f"{h}_{end}") for h in hashes)).dropDuplicates([end])
     joined = pairs.join(side("a"), "a").join(side("b"), "b")

@@ -38,13 +38,16 @@ def similarity_evidence(pairs: DataFrame, images: DataFrame, key: str = "origin"
     return joined.select(*kept, "image_a", "image_b").mapInArrow(run, schema)
 
 
-def review_checks(manifest: DataFrame, candidates: DataFrame, decisions: DataFrame, allowed: list[str], fields: list[str]) -> DataFrame:
+def review_checks(manifest: DataFrame, candidates: DataFrame, decisions: DataFrame, allowed: list[str], fields: list[str], blocking: tuple[str, ...] = ()) -> DataFrame:
     """check, n_violations: what keeps reviewed pairs from being consolidated; all counts are 0 if nothing does.
 
     manifest: image_id, class_name. candidates: candidate_pair_id, image_id_a/b, class_name_a/b. decisions:
-    candidate_pair_id, image_id_a/b, decision, date and ``fields``. Keys are compared as given.
+    candidate_pair_id, image_id_a/b, decision, date and ``fields``. Keys are compared as given. Of repeated candidates
+    the smallest (by ends, then labels) is what decisions are held against. ``blocking`` names decisions that are
+    allowed but keep the whole review open.
     """
-    one = candidates.dropDuplicates(["candidate_pair_id"])
+    rest = ["image_id_a", "image_id_b", "class_name_a", "class_name_b"]
+    one = candidates.groupBy("candidate_pair_id").agg(F.min(F.struct(*rest)).alias("x")).select("candidate_pair_id", *(f"x.{c}" for c in rest))
     expected = one.select("candidate_pair_id", F.col("image_id_a").alias("ea"), F.col("image_id_b").alias("eb"))
     compared = decisions.join(expected, "candidate_pair_id")
     ends = one.select(F.col("image_id_a").alias("image_id")).union(one.select("image_id_b")).distinct()
@@ -64,7 +67,8 @@ def review_checks(manifest: DataFrame, candidates: DataFrame, decisions: DataFra
         "dates": count(decisions.where(~S.is_iso_date(F.col("date")))),
         "pair_identity": count(compared.where(~(F.col("image_id_a").eqNullSafe(F.col("ea")) & F.col("image_id_b").eqNullSafe(F.col("eb"))))),
         "unknown_images": count(ends.join(manifest.select("image_id"), "image_id", "left_anti")),
-        "labels": count(labelled.where("class_name_a <> c_a or class_name_b <> c_b")),
+        "labels": count(labelled.where("not (class_name_a <=> c_a and class_name_b <=> c_b)")),
+        "blocking_decisions": count(decisions.where(N.folded(F.col("decision")).isin(*blocking))) if blocking else count(decisions.limit(0)),
     }
     rows = [df.select(F.lit(k).alias("check"), F.col("n").cast("bigint").alias("n_violations")) for k, df in parts.items()]
     out = rows[0]
@@ -83,6 +87,18 @@ def consolidate(manifest: DataFrame, decisions: DataFrame, grouping: list[str],
     return members, groups.where(F.col("classes").contains("|")).select("group_id", "size", "classes")
 
 
+def consolidate_checked(manifest: DataFrame, candidates: DataFrame, decisions: DataFrame, allowed: list[str], fields: list[str], grouping: list[str], namespace: str, blocking: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(checks, groups): the groups of ``consolidate``, but no row of them as long as any check finds a violation.
+
+    A group of more than one class is a violation too (check ``mixed_groups``).
+    """
+    members, torn = consolidate(manifest, decisions, grouping, namespace)
+    found = review_checks(manifest, candidates, decisions, allowed, fields, blocking)
+    found = found.unionByName(torn.agg(F.count("*").alias("n_violations")).select(F.lit("mixed_groups").alias("check"), "n_violations"))
+    passed = found.agg(F.sum("n_violations").alias("n")).where("n = 0").select(F.lit(True).alias("__passed"))
+    return found, members.join(F.broadcast(passed)).drop("__passed")
+
+
 def compare_maps(maps: DataFrame, keys: list[str], seed: str, fraction: float = 0.10, window: int = 11) -> DataFrame:
     """For maps (keys, seed, shape, values) of equal keys and different seeds: ordinal correlation, SSIM and overlap
     of the top fraction, the smaller seed first."""

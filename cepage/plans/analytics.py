@@ -129,7 +129,11 @@ def a24_area_summary(spark, sf):
     return _rounded(areas.groupBy("model").agg(F.count("auc").alias("n"), F.avg("auc").alias("mean"), F.coalesce(F.stddev_samp("auc"), F.lit(0.0)).alias("std")), 5).select("model", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  scan AS (SELECT user_id, k, value AS s, event_id AS best, 1 AS accepted, 0 AS waited, event_id AS last FROM e WHERE k = 1
+    UNION ALL SELECT x.user_id, x.k, CASE WHEN good THEN x.value ELSE x.s END, CASE WHEN good THEN x.event_id ELSE x.best END, x.accepted + good::INT, CASE WHEN good THEN 0 ELSE x.waited + 1 END, x.event_id
+    FROM (SELECT e.user_id, e.k, e.value, e.event_id, scan.s, best, accepted, waited, e.value > scan.s + 0.5 OR (abs(e.value - scan.s) <= 0.5 AND e.value > scan.s) AS good FROM scan JOIN e ON e.user_id = scan.user_id AND e.k = scan.k + 1 WHERE waited < 10) x)
+  SELECT user_id, arg_max(best, k) AS best_epoch, arg_max(s, k) AS best_score, arg_max(accepted, k) AS accepted, arg_max(last, k) AS last_epoch FROM scan GROUP BY user_id""")
 def w11_best_so_far(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_id", "value", (-F.col("value")).alias("loss"))
     return W.best_so_far(rows, ["user_id"], "event_id", "value", "loss", 0.5, 10)

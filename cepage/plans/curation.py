@@ -59,6 +59,11 @@ def first_candidates(spark: SparkSession, sf_dir: str, *fields: str) -> DataFram
     return first.select("candidate_pair_id", *(f"x.{f}" for f in fields))
 
 
+def candidate_order() -> list:
+    """The order in which candidates are offered: closest first."""
+    return [F.least("dhash_distance", "phash_distance"), F.col("dhash_distance"), F.col("phash_distance"), F.col("candidate_pair_id")]
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review rows with canonical identifiers and decisions."""
     ids = {c: N.uuid_text(F.col(c)) for c in ("candidate_pair_id", "image_id_a", "image_id_b")}
@@ -134,7 +139,13 @@ def x05_components(spark, sf):
     return C.smallest_labels(images(spark, sf).select(F.col("image_id").alias("node")), links, "node", "image_id_a", "image_id_b")
 
 
-@query()
+@query(f"""WITH RECURSIVE {Q.IMAGES}, {_DEC}, node AS (SELECT DISTINCT image_id AS id FROM images WHERE image_id IS NOT NULL),
+  link AS (SELECT image_id_a AS a, image_id_b AS b FROM dec WHERE decision IN ('confirmed_same_source', 'confirmed_related') AND image_id_a IN (SELECT id FROM node) AND image_id_b IN (SELECT id FROM node)),
+  edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+  reach AS (SELECT id AS node, id AS other FROM node UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+  cls AS (SELECT image_id, max(class_name) AS class_name FROM images WHERE image_id IS NOT NULL GROUP BY image_id),
+  sums AS (SELECT root, list_sort(list(DISTINCT node)) AS m, count(DISTINCT node)::INT AS size, coalesce(array_to_string(list_sort(list(DISTINCT class_name) FILTER (WHERE class_name IS NOT NULL)), '|'), '') AS classes FROM roots JOIN cls ON image_id = node GROUP BY root)
+  SELECT root, CASE WHEN size = 1 THEN m[1] ELSE {Q.uuid5(NAMESPACE, "array_to_string(m, ':')")} END AS group_id, size, classes FROM sums""")
 def a27_component_table(spark, sf):
     classes = images(spark, sf).where("image_id is not null").groupBy("image_id").agg(F.max("class_name").alias("class_name"))
     return C.component_table(x05_components(spark, sf), classes, "image_id", "class_name", NAMESPACE)
@@ -178,7 +189,12 @@ def p06_variants(spark, sf):
     return table(spark, sf, "image_record").where("filename is not null").select("source_row", S.variant_suffix(stem, suffixes).alias("variant"))
 
 
-@query()
+_DEPTHS = """list_reduce(list_transform(string_split(replace(trim(relative_path), chr(92), '/'), '/'), lambda s: [(CASE s WHEN '..' THEN -1 WHEN '' THEN 0 WHEN '.' THEN 0 ELSE 1 END)::BIGINT]),
+  lambda a, s: a || [a[-1] + s[1]], [0::BIGINT])"""
+
+
+@query(f"""WITH w AS (SELECT source_row, {_DEPTHS} AS d, regexp_matches(trim(relative_path), '^([/\\\\]|[A-Za-z]:)') AS rooted FROM image_record WHERE relative_path IS NOT NULL)
+  SELECT source_row, list_min(d) >= 0 AND NOT rooted AS inside, list_min(d) >= 0 AND NOT rooted AND d[-1] > 0 AS inside_not_root FROM w""")
 def p08_path_guard(spark, sf):
     rows = table(spark, sf, "image_record").where("relative_path is not null")
     return rows.select("source_row", S.stays_inside(F.trim("relative_path")).alias("inside"), S.stays_inside(F.trim("relative_path"), root_allowed=False).alias("inside_not_root"))
@@ -189,8 +205,9 @@ _FLAGS = """list_filter([CASE WHEN NOT same_class THEN 'cross_class' END, CASE W
 
 
 @query(f"""WITH {_FIRST}, f AS (SELECT *, {_FLAGS} AS flags FROM firsts), t AS (SELECT *, CASE WHEN NOT same_class THEN 1 WHEN len(flags) > 0 THEN 2 ELSE 3 END AS tier FROM f),
-  r AS (SELECT *, row_number() OVER (ORDER BY tier, rgb_embedding_cosine_similarity DESC NULLS LAST, ssim_uniform_window DESC NULLS LAST, dhash_distance NULLS FIRST, phash_distance NULLS FIRST, candidate_pair_id) AS priority FROM t)
-  SELECT candidate_pair_id, tier, CASE WHEN len(flags) > 0 THEN array_to_string(flags, ';') ELSE 'threshold_only' END AS reasons, priority, CAST((priority - 1) // 12 + 1 AS INT) AS page FROM r""")
+  r AS (SELECT *, row_number() OVER (ORDER BY tier, rgb_embedding_cosine_similarity DESC NULLS LAST, ssim_uniform_window DESC NULLS LAST, dhash_distance NULLS FIRST, phash_distance NULLS FIRST, candidate_pair_id) AS priority,
+    row_number() OVER (ORDER BY least(dhash_distance, phash_distance) NULLS FIRST, dhash_distance NULLS FIRST, phash_distance NULLS FIRST, candidate_pair_id) - 1 AS source_row FROM t)
+  SELECT candidate_pair_id, tier, CASE WHEN len(flags) > 0 THEN array_to_string(flags, ';') ELSE 'threshold_only' END AS reasons, priority, CAST(source_row // 12 + 1 AS INT) AS page FROM r""")
 def w01_priority_queue(spark, sf):
     c = F.col
     rules = {"cross_class": ~c("same_class"), "close_on_both": (c("dhash_distance") <= 4) & (c("phash_distance") <= 4), "high_ssim": c("ssim_uniform_window") >= 0.2, "high_cosine": c("rgb_embedding_cosine_similarity") >= 0.9}
@@ -198,8 +215,10 @@ def w01_priority_queue(spark, sf):
     tier = F.when(~c("same_class"), 1).when(reasons != "threshold_only", 2).otherwise(3)
     order = [c("tier"), F.desc_nulls_last("rgb_embedding_cosine_similarity"), F.desc_nulls_last("ssim_uniform_window"), F.asc_nulls_first("dhash_distance"), F.asc_nulls_first("phash_distance"), c("candidate_pair_id")]
     ranked = first_candidates(spark, sf, "same_class", "dhash_distance", "phash_distance", "ssim_uniform_window", "rgb_embedding_cosine_similarity").select("*", tier.alias("tier"), reasons.alias("reasons"))
+    # Sheets show candidates in the order in which they were offered (o01_candidate_order), not in that of their rank.
+    ranked = W.global_row_number(ranked, candidate_order(), "source_row")
     ranked = W.global_row_number(ranked, order, "priority")
-    return ranked.select("candidate_pair_id", "tier", "reasons", "priority", (F.floor((c("priority") - 1) / 12) + 1).cast("int").alias("page"))
+    return ranked.select("candidate_pair_id", "tier", "reasons", "priority", S.page_of(c("source_row") - 1, 12).alias("page"))
 
 
 @query("""SELECT source_row, coalesce(list_aggregate(list_sort(list_filter([
@@ -347,7 +366,10 @@ def u04_unknown_images(spark, sf):
     return predictions(spark, sf).select("image_id").subtract(images(spark, sf).select("image_id"))
 
 
-@query()
+_PAIR_NAME = "CASE WHEN image_id_a IS NOT NULL AND image_id_b IS NOT NULL THEN least(image_id_a, image_id_b) || ':' || greatest(image_id_a, image_id_b) END"
+
+
+@query(f"WITH {_CAND} SELECT candidate_pair_id, ingested_at, {Q.uuid5(NAMESPACE, 'candidate_pair_id')} AS name_id, {Q.uuid5(NAMESPACE, _PAIR_NAME)} AS pair_id FROM cand")
 def f02_uuid5(spark, sf):
     ids = candidates(spark, sf)
     return ids.select("candidate_pair_id", "ingested_at", S.uuid5(NAMESPACE, F.col("candidate_pair_id")).alias("name_id"), S.pair_id(NAMESPACE, F.col("image_id_a"), F.col("image_id_b")).alias("pair_id"))
@@ -361,9 +383,8 @@ def f07_seeds(spark, sf):
 
 @query(f"""WITH {_FIRST} SELECT candidate_pair_id, row_number() OVER (ORDER BY least(dhash_distance, phash_distance) NULLS FIRST, dhash_distance NULLS FIRST, phash_distance NULLS FIRST, candidate_pair_id) AS position FROM firsts""")
 def o01_candidate_order(spark, sf):
-    order = [F.least("dhash_distance", "phash_distance"), F.col("dhash_distance"), F.col("phash_distance"), F.col("candidate_pair_id")]
     rows = first_candidates(spark, sf, "dhash_distance", "phash_distance")
-    return W.global_row_number(rows, order, "position").select("candidate_pair_id", "position")
+    return W.global_row_number(rows, candidate_order(), "position").select("candidate_pair_id", "position")
 
 
 @query(_I + "SELECT source_row, class_name, round(1.0::DOUBLE / count(*) OVER (PARTITION BY class_name), 12) AS weight FROM images WHERE class_name IS NOT NULL")

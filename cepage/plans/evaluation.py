@@ -193,9 +193,14 @@ def j03_unmatched(spark, sf):
     return I.unmatched(paired_predictions(spark, sf, "correct"), "correct", ["family", "left", "right"])
 
 
-@query()
-def x09_bootstrap(spark, sf):
-    rows = predictions(spark, sf, *LABELS, "seed", "group_id").withColumn("system", F.concat_ws("|", "model_name", "regime"))
+def bootstrapped(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The bootstrap of every comparison, on observations that both systems have."""
+    rows = predictions(spark, sf_dir, *LABELS, "seed", "group_id").withColumn("system", F.concat_ws("|", "model_name", "regime"))
     keys = ["seed", "image_id", "true_class", "group_id"]
     pairs = I.paired(rows, "system", comparisons(spark), keys, "predicted_class").where("predicted_class_left is not null and predicted_class_right is not null and group_id is not null")
-    return I.crossed_bootstrap(pairs, ["family", "left", "right"], "seed", "group_id", CLASSES)
+    return I.crossed_bootstrap(pairs, ["family", "left", "right"], "seed", "group_id", CLASSES, **options)
+
+
+@query()
+def x09_bootstrap(spark, sf):
+    return bootstrapped(spark, sf)

@@ -16,6 +16,12 @@ def uuid(c: str) -> str:
     return f"CASE WHEN regexp_full_match({h}, '[0-9a-f]{{32}}') THEN {canonical} WHEN {h} <> '' THEN {t} END"
 
 
+def uuid5(namespace: str, name: str) -> str:
+    h = f"sha1(from_hex('{namespace.replace('-', '')}') || encode({name}))"
+    variant = f"substr('89ab', CAST(concat('0x', substr({h}, 17, 1)) AS INT) % 4 + 1, 1)"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
 def hash64(c: str) -> str:
     t = f"regexp_replace({folded(c)}, '^0x', '')"
     return f"CASE WHEN regexp_full_match({t}, '0*[0-9a-f]{{1,16}}') THEN CAST(concat('0x', right(repeat('0', 16) || {t}, 16)) AS UBIGINT) END"

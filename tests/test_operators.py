@@ -206,7 +206,9 @@ def test_hamming_join_against_brute_force(spark):
     base = [rng.getrandbits(63) for _ in range(60)]
     hs = base + [h ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 8))) for h in base]
     df = spark.createDataFrame([(f"i{k:03d}", h, None if k % 9 == 0 else h ^ (k % 3)) for k, h in enumerate(hs)], "id string, dhash bigint, phash bigint")
+    df = df.union(df.where("id < 'i004'").selectExpr("concat('z', id)", "dhash", "phash"))
     got = {(r["a"], r["b"]): r["triggered_by"] for r in J.hamming_pairs(df, "id", {"dhash": 4, "phash": 6}).collect()}
+    assert got == {(r["a"], r["b"]): r["triggered_by"] for r in J.hamming_pairs(df, "id", {"dhash": 4, "phash": 6}, hot_rows=1).collect()}
     want = {}
     rows = df.collect()
     for x, y in combinations(rows, 2):
@@ -216,6 +218,19 @@ def test_hamming_join_against_brute_force(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("most", [0, 1, 2, 5, 11])
+def test_close_hashes_of_any_distance(spark, most):
+    rng = random.Random(most)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    hs = {h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, most + 2))) for h in base for _ in range(3)}
+    signed = [h - 2**64 if h >> 63 else h for h in hs]
+    got = [tuple(r) for r in J.close_hashes(spark.createDataFrame([(h,) for h in signed] + [(None,)], "h bigint"), most).collect()]
+    want = {(min(a, b), max(a, b)) for a, b in combinations(signed, 2) if ((a ^ b) % 2**64).bit_count() <= most}
+    assert len(got) == len(set(got)) and set(got) == want
+    with pytest.raises(ValueError):
+        J.close_hashes(spark.createDataFrame([], "h bigint"), 12)
+
+
 @pytest.mark.parametrize("in_one_task", [0, 15, 1000])
 def test_components_of_chains_and_singletons(spark, in_one_task):
     nodes = spark.createDataFrame([(f"n{k:02d}",) for k in range(40)] + [(None,)], "node string")
@@ -238,6 +253,12 @@ def test_review_consolidation(spark):
     groups = {r["image_id"]: (r["group_id"], r["size"]) for r in members.collect()}
     assert groups["1"] == groups["2"] == groups["3"] == (str(uuid.uuid5(uuid.UUID(NS), "1:2:3")), 3) and groups["4"] == ("4", 1)
     assert torn.count() == 0
+    # Any failed check, and nothing comes out.
+    whole = lambda rows, blocking=(): R.consolidate_checked(manifest, candidates, spark.createDataFrame(rows, shape), allowed, ["reason"], allowed[:2], NS, blocking)
+    assert whole(good)[1].count() == 4 and {r["check"]: r["n_violations"] for r in whole(good)[0].collect()}["mixed_groups"] == 0
+    for rows in (bad, good[:2], [*good[:2], (*good[2][:5], None)], [*good[:2], (*good[2][:4], "2026-02-30", "r")], [*good[:2], ("r", "3", "4", "confirmed_related", "2026-01-02", "r")], good + good[:1]):
+        assert whole(rows)[1].collect() == []
+    assert whole(good, ("rejected",))[1].collect() == []
 
 
 def test_best_so_far_near_ties(spark):
