@@ -1,6 +1,7 @@
 """Command line: ``python -m cepage QUERY --data DIR [--out DIR] [--limit N]`` runs one registered query.
 
-``python -m cepage --list`` names them; ``--module NAME`` adds those of a further module. Exit code 2 if the result has a column ``passed`` that is false.
+``python -m cepage --list`` names them; ``--module NAME`` adds those of a further module. Exit code 2 if any
+row of the result has a column ``passed`` that is false, also with ``--out``.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ import importlib
 import json
 import sys
 
-from cepage.session import local_session
+from pyspark.sql import SparkSession
+
+from cepage.session import local_session, ship
 
 PLANS = ["cepage.plans.curation", "cepage.plans.evaluation", "cepage.plans.analytics", "cepage.plans.corpus_queries", "cepage.plans.extensions"]
 
@@ -26,7 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--data", help="folder with one Parquet file or folder per table")
     parser.add_argument("--out", help="write Parquet here instead of printing")
     parser.add_argument("--limit", type=int, default=20, help="rows to print")
-    parser.add_argument("--cores", default="*")
+    parser.add_argument("--cores", default="*", help="cores of a local session")
+    parser.add_argument("--master", help="a Spark master; settings such as spark.checkpoint.dir come from its configuration")
     parser.add_argument("--list", action="store_true")
     parser.add_argument("--module", action="append", default=[], help="a further module of queries, such as one of an optional subpackage")
     args = parser.parse_args(argv)
@@ -36,13 +40,16 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.query not in known or not args.data:
         parser.error("unknown query or no --data")
-    df = known[args.query](local_session(args.cores), args.data)
+    spark = local_session(args.cores) if args.master is None else SparkSession.builder.master(args.master).appName("cepage").getOrCreate()
+    ship(spark)
+    df = known[args.query](spark, args.data)
     if args.out:
         df.write.mode("errorifexists").parquet(args.out)
-        return 0
-    rows = [r.asDict(recursive=True) for r in df.limit(args.limit).collect()]
-    print(json.dumps(rows, indent=2, default=str, ensure_ascii=False, sort_keys=True))
-    return 2 if any(r.get("passed") is False for r in rows) else 0
+        df = spark.read.parquet(args.out)
+    else:
+        rows = [r.asDict(recursive=True) for r in df.limit(args.limit).collect()]
+        print(json.dumps(rows, indent=2, default=str, ensure_ascii=False, sort_keys=True))
+    return 2 if "passed" in df.columns and not df.where("not passed").isEmpty() else 0
 
 
 if __name__ == "__main__":

@@ -105,6 +105,21 @@ def blurred(image: np.ndarray, kernel: int = 31, sigma: float = 10.0) -> np.ndar
     return sum(w[k] * rows[:, k : k + image.shape[1]] for k in range(kernel))
 
 
+def scaled(image: np.ndarray, mean: list[float], std: list[float]) -> np.ndarray:
+    """Channels of an image in [0, 1] moved by their mean and divided by their deviation."""
+    return (image - np.asarray(mean)) / np.asarray(std)
+
+
+def unscaled(image: np.ndarray, mean: list[float], std: list[float]) -> np.ndarray:
+    """The inverse of ``scaled``, kept within [0, 1]."""
+    return np.clip(image * np.asarray(std) + np.asarray(mean), 0, 1)
+
+
+def blurred_baseline(image: np.ndarray, mean: list[float], std: list[float], kernel: int = 31, sigma: float = 10.0) -> np.ndarray:
+    """The blurred counterpart of a scaled image, scaled likewise."""
+    return scaled(blurred(unscaled(image, mean, std), kernel, sigma), mean, std)
+
+
 def block_means(scores: np.ndarray, block: int) -> np.ndarray:
     """Means of non-overlapping blocks, row by row; the block size must divide both sides."""
     h, w = scores.shape

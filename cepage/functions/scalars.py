@@ -228,3 +228,15 @@ def numeric_entries(text: Column) -> Column:
 def relative_completeness(delta: Column, difference: Column, floor: float = 1e-6) -> Column:
     """How far attributions are from summing to the score difference they explain, relative to it."""
     return F.abs(delta) / F.greatest(F.abs(difference), F.lit(floor))
+
+
+def converged(delta: Column, difference: Column, tolerance: float, floor: float = 1e-6) -> Column:
+    """Whether attributions are complete within a tolerance; false for null and NaN."""
+    error = relative_completeness(delta, difference, floor)
+    return F.coalesce(~F.isnan(error) & (error <= tolerance), F.lit(False))
+
+
+def strict_number(text: Column) -> Column:
+    """A text as a double; anything that is no number raises when it is read, null stays null."""
+    value = text.try_cast("double")
+    return F.when(text.isNull() | value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double"))

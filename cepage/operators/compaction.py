@@ -14,7 +14,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
@@ -183,3 +183,24 @@ def left_out(listings: DataFrame, written: DataFrame, path: str = "relative_path
 def compact_table(listings: DataFrame, dimensions: list[Dimension], **options) -> DataFrame:
     """``compact`` into a fresh folder of the shared directory."""
     return compact(listings, scratch_path(listings.sparkSession, "packs"), dimensions, **options)
+
+
+def pack_files(spark: SparkSession, root: str, out_path: str, target_bytes: int = 512 << 20, bits: int = 5, pattern: str = "*") -> DataFrame:
+    """Read every file below ``root`` and write its bytes into packs of about ``target_bytes``, one file each.
+
+    Packs are planned on listings (folder and time of change are the dimensions), so contents are read and shuffled
+    once. Written are pack_id, path, bytes, sha256 and content. Raises if the paths, sizes and digests of what was
+    read and what lies in the packs differ. Returns the table of packs; a tree without files gives an empty one.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    listed = cut(found.select("path", F.col("length").alias("bytes"), F.regexp_replace("path", "/[^/]*$", "").alias("dim_0"), F.unix_micros("modificationTime").alias("dim_1")))
+    planned, packs = plan_packs(listed, [Dimension("dim_0"), Dimension("dim_1", ordered=True)], target_bytes, bits)
+    planned = cut(planned.select("path", "pack_id"))
+    content = found.select("path", F.col("length").alias("bytes"), "content").join(planned, "path")
+    content.repartitionById(packs, F.col("pack_id")).select("pack_id", "path", "bytes", F.sha2("content", 256).alias("sha256"), "content").write.mode("errorifexists").parquet(out_path)
+    written = spark.read.parquet(out_path)
+    source = found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    packed = written.select("path", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if row_digest(source, ["path", "bytes", "sha256"]) != row_digest(packed, ["path", "bytes", "sha256"]):
+        raise RuntimeError(f"the packs in {out_path} differ from the files below {root}")
+    return written

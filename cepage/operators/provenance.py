@@ -11,7 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cepage.sources.sinks import canonical_json, text_digest
+from cepage.sources.files import read_json
+from cepage.sources.sinks import canonical_json, text_digest, write_json
 
 
 def verify_digests(expected: DataFrame, actual: DataFrame, name: str = "name", digest: str = "digest") -> DataFrame:
@@ -76,6 +77,52 @@ def overlay(base: dict[str, Any], *layers: dict[str, Any], drop: tuple[str, ...]
     return out
 
 
+def run_settings(base: dict[str, Any], *layers: dict[str, Any], drop: tuple[str, ...] = (), focal: bool = False) -> dict[str, Any]:
+    """``overlay``; a focal regime takes a hundredth of the learning rate, and clips at 1.0 unless a clip is set."""
+    out = overlay(base, *layers, drop=drop)
+    if focal:
+        out["learning_rate"] = out["learning_rate"] * 0.01
+        if out.get("clip_norm") is None:
+            out["clip_norm"] = 1.0
+    return out
+
+
+def freeze(inputs: dict[str, str | Path], target: str | Path, **facts: Any) -> dict[str, Any]:
+    """Write the digests of all input files and further facts to ``target``, once; missing inputs raise, nothing is written then."""
+    target = Path(target)
+    missing = sorted(n for n, p in inputs.items() if not Path(p).is_file())
+    if missing:
+        raise FileNotFoundError(f"missing inputs: {', '.join(missing)}")
+    if target.exists():
+        raise FileExistsError(str(target))
+    record = {"status": "frozen", "digests": {n: file_digest(p) for n, p in inputs.items()}, **facts}
+    write_json(target, record)
+    return record | {"record_digest": file_digest(target)}
+
+
+def verify_frozen(target: str | Path, inputs: dict[str, str | Path], record_digest: str | None = None) -> dict[str, Any]:
+    """The frozen record, if it is whole and every input still has its digest; any difference raises."""
+    target = Path(target)
+    record = read_json(target)
+    if record.get("status") != "frozen":
+        raise ValueError(f"{target} is not frozen")
+    if record_digest is not None and file_digest(target) != record_digest.lower():
+        raise ValueError(f"{target} was changed")
+    known = record.get("digests", {})
+    wrong = sorted({n for n, p in inputs.items() if not Path(p).is_file() or str(known.get(n, "")).lower() != file_digest(p)} | (set(known) - set(inputs)))
+    if wrong:
+        raise ValueError(f"inputs differ from the frozen ones: {', '.join(wrong)}")
+    return record
+
+
+def matrix_summary(results: DataFrame, expected: DataFrame, keys: list[str], completed: Column, forbidden: Column) -> DataFrame:
+    """One row: combinations expected and completed, forbidden accesses, and passed if all are there once and none is forbidden."""
+    have = results.groupBy(*keys).agg(F.count("*").alias("__n"), F.bool_and(completed).alias("__done"), F.count_if(forbidden).alias("__bad"))
+    both = expected.select(*keys).distinct().withColumn("__asked", F.lit(True)).join(have, keys, "full")
+    row = both.agg(F.count("__asked").alias("expected"), F.count_if(F.col("__asked") & F.col("__done") & (F.col("__n") == 1)).alias("completed"), F.count_if(F.col("__asked").isNull()).alias("unexpected"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("forbidden"))
+    return row.withColumn("passed", (F.col("expected") == F.col("completed")) & (F.col("unexpected") == 0) & (F.col("forbidden") == 0))
+
+
 def first_present(row: dict[str, Any], names: list[str]) -> Any:
     """The value of the first name that is present and not None; none raises."""
     for n in names:

@@ -38,6 +38,18 @@ def similarity_evidence(pairs: DataFrame, images: DataFrame, key: str = "origin"
     return joined.select(*kept, "image_a", "image_b").mapInArrow(run, schema)
 
 
+def review_template(pairs: DataFrame) -> DataFrame:
+    """Pairs to be decided: what a reviewer has to fill in is empty text, and the action asked for is named."""
+    blank = [F.lit("").alias(c) for c in ("decision", "reason", "reviewer", "date", "evidence", "group_id_assigned")]
+    return pairs.select("*", F.lit("independent_human_review").alias("required_action"), *blank)
+
+
+def evidence_report(pairs: DataFrame) -> DataFrame:
+    """One row: candidates, those across classes, and by what triggered them."""
+    by = lambda t: F.count_if(F.col("triggered_by") == t)
+    return pairs.agg(F.count("*").alias("candidates"), F.count_if(~F.coalesce(F.col("same_class"), F.lit(False))).alias("cross_class"), by("dhash").alias("by_dhash"), by("phash").alias("by_phash"), by("dhash+phash").alias("by_both"))
+
+
 def review_checks(manifest: DataFrame, candidates: DataFrame, decisions: DataFrame, allowed: list[str], fields: list[str], blocking: tuple[str, ...] = ()) -> DataFrame:
     """check, n_violations: what keeps reviewed pairs from being consolidated; all counts are 0 if nothing does.
 

@@ -119,24 +119,28 @@ def deficits(counts: dict[tuple[str, str], int], free: dict[str, int], proportio
 
 
 def lay_out(small: DataFrame, lack: dict[str, np.ndarray], proportions: dict[str, float]) -> DataFrame:
-    """(component, placed) of components (component, class_name, n): by hash within the class, up to where each split's share of the class ends."""
+    """(component, placed) of components (component, class_name, n): by hash within the class, up to where each split's share of the class ends.
+
+    Sums are taken per class and hash bucket (1,024 a class) in SQL; only the shares of each class are sent to the tasks.
+    """
     spark, names = small.sparkSession, list(proportions)
     small = cut(small.withColumns({"h": F.xxhash64("component"), "bucket": F.pmod(F.xxhash64(F.lit(3), "component"), F.lit(1024))}))
-    sums = small.groupBy("class_name", "bucket").agg(F.sum("n").alias("n")).orderBy("class_name", "bucket").toPandas()
-    sums["before"] = sums.groupby("class_name").n.cumsum() - sums.n
-    before = spark.createDataFrame([(a, int(b), int(c)) for a, b, c in zip(sums.class_name, sums.bucket, sums.before, strict=True)], "class_name string, bucket bigint, before bigint")
-    ends = []
-    for c, part in sums.groupby("class_name"):
-        share = np.maximum(lack[c], 0)
+    own = Window.partitionBy("class_name")
+    sums = small.groupBy("class_name", "bucket").agg(F.sum("n").alias("__n"))
+    sums = sums.select("class_name", "bucket", F.coalesce(F.sum("__n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("__n").over(own).alias("__all"))
+    shares = []
+    for c, free in lack.items():
+        share = np.maximum(free, 0)
         share = share / share.sum() if share.sum() else np.array(list(proportions.values()))
-        ends.append((c, *(float(x) for x in np.cumsum(share)[:-1] * part.n.sum())))
-    shape = ", ".join(f"end{k} double" for k in range(len(names) - 1))
-    limits = spark.createDataFrame(ends, f"class_name string, {shape}")
+        shares.append((c, *(float(x) for x in np.cumsum(share)[:-1])))
+    shape = ", ".join(f"share{k} double" for k in range(len(names) - 1))
+    limits = spark.createDataFrame(shares, f"class_name string, {shape}")
     within = F.sum("n").over(Window.partitionBy("class_name", "bucket").orderBy("h", "component")) - F.col("n") / 2
-    laid = small.join(F.broadcast(before), ["class_name", "bucket"]).join(F.broadcast(limits), "class_name").withColumn("at", F.col("before") + within)
+    laid = small.withColumn("__within", within).join(sums, ["class_name", "bucket"]).join(F.broadcast(limits), "class_name")
+    at = F.col("before") + F.col("__within")
     chosen = F.lit(names[-1])
     for k in range(len(names) - 2, -1, -1):
-        chosen = F.when(F.col("at") < F.col(f"end{k}"), names[k]).otherwise(chosen)
+        chosen = F.when(at < F.col(f"share{k}") * F.col("__all"), names[k]).otherwise(chosen)
     return laid.select("component", chosen.alias("placed"))
 
 
@@ -208,3 +212,18 @@ def optimise_split(groups: DataFrame, restarts: int, seed: int = 1729, goal: Spl
         "overall_deviation": dict(zip(goal.names, overall.tolist(), strict=True)), "class_deviation": {n: dict(zip(goal.names, d, strict=True)) for n, d in zip(names, by_class.tolist(), strict=True)},
     }
     return split, report
+
+
+def write_split(groups: DataFrame, path: str, restarts: int, seed: int = 1729, goal: SplitGoal | None = None, **options) -> tuple[DataFrame | None, dict]:
+    """(split as written, report): search, check and write a grouped split; where none is feasible only the report is given.
+
+    Feasible is a split without violations in which no group has two splits. An existing ``path`` raises.
+    """
+    split, report = optimise_split(groups, restarts, seed, goal, **options)
+    split = cut(split)
+    leaks = split.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1").count()
+    report |= {"torn_groups": leaks, "feasible": report["violations"] == 0 and leaks == 0}
+    if not report["feasible"]:
+        return None, report
+    split.write.mode("errorifexists").parquet(path)
+    return split.sparkSession.read.parquet(path), report

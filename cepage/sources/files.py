@@ -35,6 +35,18 @@ def union_scan(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return typed_csv(spark, paths, schema).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def parameter_scan(spark: SparkSession, pattern: str, schema: str, names: list[str], layout: str, **wanted: str) -> DataFrame:
+    """CSV files whose paths carry parameters (``layout``: a pattern with one group per name), with those as columns.
+
+    ``wanted`` keeps rows with these values; a column that the files don't have is no filter.
+    """
+    df = path_values(union_scan(spark, [pattern], schema), layout, names, F.col("source_file"))
+    for column, value in wanted.items():
+        if column in df.columns:
+            df = df.where(F.col(column) == value)
+    return df
+
+
 def path_values(df: DataFrame, pattern: str, names: list[str], path: Column | None = None) -> DataFrame:
     """Adds a column for each group of ``pattern`` found in the row's file path; null where it is not found."""
     at = F.col("_metadata.file_path") if path is None else path
@@ -82,6 +94,16 @@ def discover(spark: SparkSession, root: str, extensions: list[str], content: boo
     return out
 
 
+def image_format(content: Column) -> Column:
+    """The format that a file's first bytes tell: JPEG, PNG, GIF or BMP; null for anything else."""
+    head = F.hex(F.substring(content, 1, 4))
+    known = {"FFD8FF": "JPEG", "89504E47": "PNG", "47494638": "GIF", "424D": "BMP"}
+    out = F.lit(None).cast("string")
+    for start, name in known.items():
+        out = F.when(head.startswith(start), name).otherwise(out)
+    return out
+
+
 def digests(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
     """relative_path and SHA-256 of the content of files."""
     return discover(spark, root, extensions, content=True).select("relative_path", F.sha2("content", 256).alias("sha256"))

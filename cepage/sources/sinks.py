@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cepage.functions.frames import require_columns
+from cepage.session import cut
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists") -> None:
@@ -35,8 +39,28 @@ def twins_agree(csv: DataFrame, parquet: DataFrame) -> bool:
     return csv.columns == parquet.columns and csv.count() == parquet.count()
 
 
+def _write_shared(path: str, text: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError(f"{path} needs a running session")
+    file = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = file(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = fs.create(file(f"{path}.next"), True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(file(path), False)
+    if not fs.rename(file(f"{path}.next"), file(path)):
+        raise OSError(f"cannot move {path}.next to {path}")
+
+
 def write_text(path: str | Path, text: str) -> None:
-    """Write a small text file at once: under another name first, then renamed."""
+    """Write a small text file at once: under another name first, then renamed. A path with a scheme (as hdfs:// or
+    s3a://) goes to the shared store."""
+    if "://" in str(path):
+        _write_shared(str(path), text)
+        return
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent, prefix=path.name)
@@ -78,6 +102,48 @@ def write_once(df: DataFrame, path: str) -> str:
     return digest
 
 
+def write_progress(df: DataFrame, path: str) -> str:
+    """Replace a Parquet table by the next state of a run; returns the digest. The new one is whole before the old one goes."""
+    spark = df.sparkSession
+    file = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = file(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fresh = f"{path.rstrip('/')}.next"
+    df.write.mode("overwrite").parquet(fresh)
+    digest = table_digest(spark.read.parquet(fresh))
+    fs.delete(file(path), True)
+    if not fs.rename(file(fresh), file(path)):
+        raise OSError(f"cannot move {fresh} to {path}")
+    return digest
+
+
+def write_npz(df: DataFrame, path: str, bundle: str = "bundle") -> DataFrame:
+    """One NPZ file per bundle of named arrays (bundle, name, shape, values), below a shared folder; returns (file, sha256).
+
+    Each bundle is written by one task, so bundles must fit in it; repeated names in a bundle raise, existing files too.
+    """
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["name"].duplicated().any():
+            raise ValueError(f"repeated arrays in {key[0]}")
+        held = io.BytesIO()
+        np.savez_compressed(held, **{n: np.asarray(v, float).reshape([int(k) for k in s]) for n, s, v in zip(frame["name"], frame["shape"], frame["values"], strict=True)})
+        return pd.DataFrame({"file": [f"{path.rstrip('/')}/{key[0]}.npz"], "content": [held.getvalue()]})
+
+    packed = df.select(bundle, "name", "shape", "values").groupBy(bundle).applyInPandas(run, "file string, content binary")
+    written = cut(packed)
+    target = Path(path.removeprefix("file://"))
+    target.mkdir(parents=True, exist_ok=True)
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for file, content in zip(frame["file"], frame["content"], strict=True):
+                with open(file.removeprefix("file://"), "xb") as f:
+                    f.write(content)
+            yield pd.DataFrame({"file": frame["file"], "sha256": [hashlib.sha256(c).hexdigest() for c in frame["content"]]})
+
+    return cut(written.mapInPandas(save, "file string, sha256 string"))
+
+
 def digest_table(digests: DataFrame, path: str) -> None:
     """Digests of files as lines "digest  relative_path", one text file per partition."""
     digests.select(F.concat_ws("  ", "sha256", "relative_path")).write.mode("errorifexists").text(path)
