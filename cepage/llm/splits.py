@@ -95,12 +95,12 @@ def _place(groups: dict[str, dict[str, int]], lack: dict[str, np.ndarray]) -> di
     return placed
 
 
-def assign_splits(records: DataFrame, record: str, keys: list[str], class_name: str, split: str, ledger: DataFrame | None = None, proportions: dict[str, float] = PROPORTIONS, greedy: int = 5_000) -> tuple[DataFrame, DataFrame]:
+def assign_splits(records: DataFrame, record: str, keys: list[str], class_name: str, split: str, ledger: DataFrame | None = None, proportions: dict[str, float] = PROPORTIONS, greedy: int = 5_000, max_classes: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(assignments, ledger): id, component, class_name, split, status; and node, component, split to persist.
 
     ``split`` holds earlier splits of records (null for none); ``ledger`` is the table a former call returned. Nodes of
     it that no record names any more stay in the new one. Records of quarantined components have a null split.
-    Null classes form a class of their own. An empty table gives two empty tables.
+    Null classes form a class of their own; there may be up to ``max_classes``. An empty table gives two empty tables.
     """
     require_columns(records, (record, *keys, class_name, split))
     spark, names = records.sparkSession, list(proportions)
@@ -110,8 +110,10 @@ def assign_splits(records: DataFrame, record: str, keys: list[str], class_name:
     counts = cut(rows.groupBy("component", "class_name").agg(F.count("*").alias("k")).join(judged, "component"))
     kept = counts.where("status = 'kept'").groupBy("class_name", F.element_at("earlier", 1).alias("s")).agg(F.sum("k").alias("k")).collect()
     free_counts = cut(counts.where("status in ('new', 'torn')"))
-    free_rows = free_counts.groupBy("class_name").agg(F.sum("k").alias("k")).collect()
+    free_rows = free_counts.groupBy("class_name").agg(F.sum("k").alias("k")).limit(max_classes + 1).collect()
     free = {r[0]: r[1] for r in free_rows}
+    if len(free) > max_classes:
+        raise ValueError(f"{len(free)} classes; deficits are kept for at most max_classes = {max_classes}")
     lack = deficits({(r[0], r[1]): r[2] for r in kept}, free, proportions)
     top = judged.where("status in ('new', 'torn')").orderBy(F.desc("n"), "component").limit(greedy).select("component")
     groups: dict[str, dict[str, int]] = {}
