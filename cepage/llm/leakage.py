@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,10 +52,31 @@ def gram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """Positions of the smallest hash of each ``window`` successive ones, the last of equal ones."""
-    if len(hashes) <= window:
-        return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))], np.int64) if len(hashes) else np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
-    return np.unique(len(hashes) - 1 - (np.argmin(views, axis=1) + np.arange(len(views))))
+    return winnow_all(hashes, np.array([len(hashes)]), window)
+
+
+def winnow_all(hashes: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """``winnow`` of texts one after the other, of so many hashes each; a text shorter than a window is one window."""
+    ends = np.cumsum(lengths)
+    kept = np.zeros(len(hashes), bool)
+    m = len(hashes) - window + 1
+    if m > 0:
+        least, at = hashes[:m].copy(), np.zeros(m, np.int64)
+        for j in range(1, window):
+            later = hashes[j : j + m]
+            better = later <= least
+            least[better] = later[better]
+            at[better] = j
+        whole = np.zeros(len(hashes) + 1, np.int64)  # windows that lie in one text
+        long = lengths >= window
+        np.add.at(whole, (ends - lengths)[long], 1)
+        np.add.at(whole, (ends - window + 1)[long], -1)
+        inside = np.flatnonzero(np.cumsum(whole)[:m] > 0)
+        kept[inside + at[inside]] = True
+    for k in np.flatnonzero((lengths > 0) & (lengths < window)):
+        part = hashes[ends[k] - lengths[k] : ends[k]]
+        kept[ends[k] - 1 - int(np.argmin(part[::-1]))] = True
+    return np.flatnonzero(kept)
 
 
 def common_subsequence(masks: dict[int, int], length: int, ids: list[int]) -> int:
@@ -104,6 +126,7 @@ class Items:
         self.filled, self.all_words = filled, np.concatenate([self.ids[r] for r in filled]) if len(filled) else np.empty(0, np.int64)
         self.starts = np.cumsum(n[filled]) - n[filled]
         self.counts = [Counter(ids.tolist()) for ids in self.ids]
+        self.table: np.ndarray | None = None
         prints = []
         for r, t in enumerate(texts):
             g = gram_hashes(self.hashed(t), k)
@@ -145,41 +168,85 @@ class Items:
 
     def leaks(self, text: str | None) -> list[int]:
         """Numbers of the items of which the text holds a passage."""
-        found = words(text, self.known)
-        if not found:
+        return sorted(r for _, r in self.leaks_of([text]))
+
+    def leaks_of(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        """(number of the text, number of the item) of texts that hold a passage of an item."""
+        found = [words(t, self.known) for t in texts]
+        n = np.array([len(f) for f in found], np.int64)
+        if not n.sum():
             return []
-        ids = np.array([self.vocabulary.get(w, 0) for w in found], np.int64)
-        leaking = self._spans(ids, gram_hashes(self.hashed(found), self.k)) if len(found) >= self.span else set()
-        return sorted(leaking | self._reworked(ids, leaking))
-
-    def _spans(self, ids: np.ndarray, grams: np.ndarray) -> set[int]:
-        at = winnow(grams, self.window)
-        hit, row = self._hits(self.prints, grams[at])
-        out: set[int] = set()
-        for p, r, q in zip(at[hit].tolist(), self.prints[row, 1].tolist(), self.prints[row, 2].tolist(), strict=True):
-            if r in out:
+        # Each distinct word is looked up and hashed once.
+        coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = np.fromiter((self.vocabulary.get(w, 0) for w in distinct), np.int64, len(distinct))[codes]
+        starts = np.cumsum(n) - n
+        leaking = self._spans(ids, self.hashed(distinct)[codes], starts, n)
+        known: dict[int, set[int]] = {}
+        for d, r in leaking:
+            known.setdefault(d, set()).add(r)
+        for d, enough in self._enough(ids, n):
+            enough[list(known.get(d, ()))] = False
+            leaking |= {(d, r) for r in self._reworked(ids[starts[d] : starts[d] + n[d]], enough)}
+        return sorted(leaking)
+
+    def _spans(self, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) with a shared span, of texts one after the other."""
+        long = np.flatnonzero(n >= self.span)
+        if not len(long):
+            return set()
+        lengths = n[long] - self.k + 1
+        grams = gram_hashes(hashes, self.k)
+        place = np.repeat(starts[long] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        kept = place[winnow_all(grams[place], lengths, self.window)]
+        hit, row = self._hits(self.prints, grams[kept])
+        at = kept[hit]
+        text = np.searchsorted(starts, at, "right") - 1
+        out: set[tuple[int, int]] = set()
+        for d, p, r, q in zip(text.tolist(), at.tolist(), self.prints[row, 1].tolist(), self.prints[row, 2].tolist(), strict=True):
+            if (d, r) in out:
                 continue
-            item = self.ids[r]
+            item, first, last = self.ids[r], int(starts[d]), int(starts[d] + n[d])
             lo = 0
-            while p - lo > 0 and q - lo > 0 and ids[p - lo - 1] == item[q - lo - 1]:
+            while p - lo > first and q - lo > 0 and ids[p - lo - 1] == item[q - lo - 1]:
                 lo += 1
             hi = 0
-            while p + hi < len(ids) and q + hi < len(item) and ids[p + hi] == item[q + hi]:
+            while p + hi < last and q + hi < len(item) and ids[p + hi] == item[q + hi]:
                 hi += 1
             if lo + hi >= self.span:
-                out.add(int(r))
+                out.add((d, int(r)))
         return out
 
-    def _reworked(self, ids: np.ndarray, known: set[int]) -> set[int]:
+    def _enough(self, ids: np.ndarray, n: np.ndarray, dense: int = 1 << 24) -> Iterator[tuple[int, np.ndarray]]:
+        """(text, mask of the items) of texts that have as many of an item's words at all as they must keep."""
         if not len(self.filled):
-            return set()
-        # No item keeps more of its words than the text has at all.
-        present = np.zeros(len(self.vocabulary) + 1, np.int64)
-        present[ids] = 1
-        present[0] = 0
-        enough = np.zeros(len(self.keys), bool)
-        enough[self.filled] = np.add.reduceat(present[self.all_words], self.starts) >= self.least[self.filled]
-        enough[list(known)] = False
+            return
+        width = len(self.vocabulary) + 1
+        text = np.repeat(np.arange(len(n)), n)
+        # Counts per word and item as a table if it is small, else texts one by one.
+        table = None
+        if width * len(self.keys) <= dense:
+            if self.table is None:
+                self.table = np.zeros((width, len(self.keys)), np.float32)
+                np.add.at(self.table, (self.all_words, np.repeat(self.filled, self.length[self.filled])), 1)
+            table = self.table
+        step = max(1, dense // width) if table is not None else 1
+        for at in range(0, len(n), step):
+            lo, hi = np.searchsorted(text, at, "left"), np.searchsorted(text, at + step, "left")
+            present = np.zeros((min(step, len(n) - at), width), np.float32)
+            present[text[lo:hi] - at, ids[lo:hi]] = 1
+            present[:, 0] = 0
+            if table is not None:
+                enough = present @ table >= self.least
+            else:
+                enough = np.zeros((1, len(self.keys)), bool)
+                enough[0, self.filled] = np.add.reduceat(present[0][self.all_words], self.starts) >= self.least[self.filled]
+            enough[:, self.length == 0] = False
+            for d in np.flatnonzero(enough.any(axis=1)):
+                yield at + int(d), enough[d]
+
+    def _reworked(self, ids: np.ndarray, enough: np.ndarray) -> set[int]:
+        """Of the items that have ``enough`` words in a text, those that it keeps in order in some stretch."""
         if not enough.any():
             return set()
         loose = np.flatnonzero(enough & (self.pairs_needed <= 0))
@@ -226,20 +293,23 @@ class Items:
         return False
 
 
-def _lookup_leaks(corpus: DataFrame, rows: list[tuple], names: tuple[str, str], schema: str, item_type: pa.DataType, options: dict) -> DataFrame:
+def _lookup_leaks(corpus: DataFrame, rows: list[tuple], names: tuple[str, str], schema: str, item_type: pa.DataType, options: dict, together: int = 4 << 20) -> DataFrame:
     """Leaks by a lookup of the items' prints in every task."""
     sent = corpus.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(sent.value, **options)
         for batch in batches:
-            doc, item = [], []
-            for n, t in enumerate(batch.column(1).to_pylist()):
-                for r in index.leaks(t):
-                    doc.append(n)
-                    item.append(index.keys[r])
-            if doc:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(item, item_type)], list(names))
+            # Texts are searched together up to some millions of bytes; a longer one is by itself.
+            upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (int(upto[at - 1]) if at else 0) + together, "right")))
+                found = index.leaks_of(batch.column(1).slice(at, to - at).to_pylist())
+                if found:
+                    doc, item = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at + d for d in doc])), pa.array([index.keys[r] for r in item], item_type)], list(names))
+                at = to
 
     return corpus.mapInArrow(run, schema)
 

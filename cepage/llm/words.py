@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import regex
@@ -15,6 +16,7 @@ _BROKEN = regex.compile(r"(?<=[^\W_])(?:-|\u2010|\u2011|\u00ad)[^\S\n]*\r?[\n\u2
 HYPHEN_AT_END = "[-\u2010\u2011\u00ad&]"
 _UNSEEN = regex.compile(r"[\p{M}\p{Cf}\ufe00-\ufe0f]+")
 _WORD = regex.compile(r"[^\W_]+(?:\x01[^\W_]+)*")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+(?:\x01[a-z0-9]+)*")
 
 
 def _runs(text: str | None) -> tuple[list[str], bool]:
@@ -26,8 +28,9 @@ def _runs(text: str | None) -> tuple[list[str], bool]:
     if "<" in text:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
     text = _BROKEN.sub("\x01", text)
-    if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+    if text.isascii():
+        return _PLAIN_WORD.findall(text.lower()), "\x01" in text
+    text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     return _WORD.findall(text.casefold()), "\x01" in text
 
 

@@ -215,3 +215,36 @@ def test_held_out_accuracy(spark):
     both = labels.where(held & F.col("reading_level").isNotNull()).join(got.withColumnRenamed("reading_level", "p"), "doc_id")
     row = both.agg(F.avg((F.col("p") == F.col("reading_level")).cast("int")), F.count("*")).first()
     assert row[1] > 100 and row[0] > 0.85
+
+
+def test_texts_searched_together_and_one_by_one():
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(40)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, make(rng.randint(1, 30))) for k in range(15)] + [(99, "")]
+    texts = [None, "", make(3), *(make(rng.randint(0, 25)) + " " + rng.choice(items)[1] + " " + make(rng.randint(0, 25)) for _ in range(60)), make(400)]
+    index = leakage.Items(items)
+    together = index.leaks_of(texts)
+    want = {(d, n) for d, t in enumerate(texts) if t for n, (_, s) in enumerate(items) if s and plain_leaks(t, s)}
+    assert set(together) == want and len(want) > 50 and index.leaks_of([None, ""]) == []
+    assert [(d, r) for d, t in enumerate(texts) for r in index.leaks(t)] == together
+    lone = leakage.Items(items)
+    assert {d: m.tolist() for d, m in lone._enough(*_numbered(lone, texts), dense=1)} == {d: m.tolist() for d, m in lone._enough(*_numbered(lone, texts))}
+
+
+def _numbered(index, texts):
+    found = [words(t, index.known) for t in texts]
+    return np.array([index.vocabulary.get(w, 0) for f in found for w in f], np.int64), np.array([len(f) for f in found])
+
+
+def test_winnowing_of_texts_one_after_the_other():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 9, n).astype(np.uint64) for n in (0, 3, 8, 20, 0, 1, 50)]
+    ends = np.cumsum([len(p) for p in parts])
+    got = leakage.winnow_all(np.concatenate(parts), np.array([len(p) for p in parts]), 8)
+    want = []
+    for part, end in zip(parts, ends, strict=True):
+        for s in range(max(1, len(part) - 7) if len(part) else 0):
+            w = part[s : s + 8]
+            want.append(int(end) - len(part) + s + len(w) - 1 - int(np.argmin(w[::-1])))
+    assert got.tolist() == sorted(set(want))
