@@ -183,6 +183,13 @@ def inverse_frequency(df: DataFrame, by: str, hot_rows: int = 1_000_000) -> Data
     return skewed_lookup(df, counts, by, "__n", hot_rows)
 
 
+def reindexed(df: DataFrame, key: str, order: list, fill: dict) -> DataFrame:
+    """Exactly the rows of the keys in ``order``, with their place; what is not there gets the values of ``fill``."""
+    spark = df.sparkSession
+    places = spark.createDataFrame([(v, k) for k, v in enumerate(order)], f"`{key}` {dict(df.dtypes)[key]}, place int")
+    return F.broadcast(places).join(df, key, "left").fillna(fill)
+
+
 def weighted_draws(df: DataFrame, key: str, weight: str, draws: int, seed: int) -> DataFrame:
     """``draws`` rows with replacement, by weight: (draw, key). Draw k is a number keyed by seed and k, looked up in the
     running sum of weights over ``key`` (unique), so results depend on neither order nor partitions. No rows give none."""

@@ -165,6 +165,16 @@ def o06_pivot(spark, sf):
     return wide.select("o_orderpriority", *(F.coalesce(k, F.lit(0)).alias(k.lower()) for k in ("F", "O", "P")))
 
 
+# The order in which a report shows the priorities; one of them is never met.
+SHOWN = ["1-URGENT", "2-HIGH", "0-NONE", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("SELECT s.p AS o_orderpriority, s.k::INT AS place, coalesce(n, 0) AS n FROM (VALUES " + ", ".join(f"('{p}', {k})" for k, p in enumerate(SHOWN)) + ") AS s(p, k) LEFT JOIN (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority) ON o_orderpriority = s.p")
+def o06_fixed_order(spark, sf):
+    counts = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return W.reindexed(counts, "o_orderpriority", SHOWN, {"n": 0})
+
+
 @query("SELECT o_orderkey AS k FROM orders UNION ALL SELECT l_orderkey FROM lineitem")
 def u01_union_all(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).unionByName(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cepage.functions import normalise as N
@@ -10,6 +10,7 @@ from cepage.functions import scalars as S
 from cepage.operators import aggregates as A
 from cepage.operators import inference as I
 from cepage.operators import metrics as M
+from cepage.operators import provenance as P
 from cepage.plans import sql_text as Q
 from cepage.sources.tables import table
 
@@ -204,3 +205,40 @@ def bootstrapped(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 @query()
 def x09_bootstrap(spark, sf):
     return bootstrapped(spark, sf)
+
+
+# Names as published, in the order in which tables show them.
+MODEL_LABELS = {"resnet50": "ResNet50", "vit_b_16": "ViT-B/16", "swin_tiny": "Swin-Tiny", "yolov8n_cls": "YOLOv8n-cls"}
+REGIME_LABELS = {"standard_ce": "Standard CE", "focal_loss": "Focal Loss", "weighted_sampler": "Balanced CE"}
+
+
+def _case(c: str, names: dict[str, str]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {c} END"
+
+
+_MEANS = ("accuracy", "macro_precision", "macro_recall", "macro_f1")
+
+
+@query(_P + f""", k AS (SELECT DISTINCT model_name, regime, seed, r.k FROM pred, range(4) r(k)),
+  c AS (SELECT k.model_name, k.regime, k.seed, k.k, count(*) FILTER (WHERE true_class = k.k AND predicted_class = k.k)::DOUBLE AS hit, count(*) FILTER (WHERE true_class = k.k) AS t, count(*) FILTER (WHERE predicted_class = k.k) AS p FROM k JOIN pred USING (model_name, regime, seed) GROUP BY ALL),
+  e AS (SELECT model_name, regime, seed, sum(hit) / sum(t) AS accuracy, avg(coalesce(hit / nullif(p, 0), 0)) AS macro_precision, avg(coalesce(hit / nullif(t, 0), 0)) AS macro_recall, avg(coalesce(2 * hit / nullif(t + p, 0), 0)) AS macro_f1 FROM c GROUP BY ALL),
+  m AS (SELECT model_name, regime, count(*) AS seeds, {", ".join(f"round(avg({c}), 9) AS {c}" for c in _MEANS)} FROM e GROUP BY ALL)
+  SELECT {_case('model_name', MODEL_LABELS)} AS architecture, {_case('regime', REGIME_LABELS)} AS training_regime, seeds, {", ".join(f"printf('%.4f', {c}) AS {c}" for c in _MEANS)},
+  row_number() OVER (ORDER BY {_case('model_name', MODEL_LABELS)}, {_case('regime', REGIME_LABELS)}, model_name, regime)::INT AS position FROM m""")
+def x17_predictive_table(spark, sf):
+    """The published table of predictive quality: means over seeds as text, in display order."""
+    runs = M.summary(predictions(spark, sf, *LABELS, "seed"), [*GROUP, "seed"], CLASSES).withColumnRenamed("balanced_accuracy", "macro_recall")
+    means = runs.groupBy(*GROUP).agg(F.count("*").alias("seeds"), *(F.round(F.avg(c), 9).alias(c) for c in _MEANS))
+    named = means.withColumns({"architecture": S.lookup(F.col("model_name"), MODEL_LABELS), "training_regime": S.lookup(F.col("regime"), REGIME_LABELS)})
+    # One row per model and regime, so a single ordering task is enough.
+    order = Window.orderBy("architecture", "training_regime", *GROUP)
+    return named.select("architecture", "training_regime", "seeds", *(S.fixed_text(F.col(c), 4).alias(c) for c in _MEANS), F.row_number().over(order).alias("position"))
+
+
+@query("""WITH k AS (SELECT DISTINCT model_name, regime FROM run_registry), have AS (SELECT model_name, regime, count(*) AS n, bool_and(finished_at IS NOT NULL) AS done FROM run_registry WHERE seed = (SELECT min(seed) FROM run_registry) GROUP BY ALL),
+  j AS (SELECT n, done FROM k LEFT JOIN have USING (model_name, regime)), r AS (SELECT count(*) AS expected, count(*) FILTER (WHERE done AND n = 1) AS completed, 0::BIGINT AS unexpected, 0::BIGINT AS forbidden FROM j)
+  SELECT *, expected = completed AS passed FROM r""")
+def x23_matrix_summary(spark, sf):
+    runs = table(spark, sf, "run_registry")
+    first = runs.join(F.broadcast(runs.agg(F.min("seed").alias("seed"))), "seed")
+    return P.matrix_summary(first, runs.select(*GROUP), GROUP, F.col("finished_at").isNotNull(), F.lit(False))
