@@ -32,14 +32,23 @@ from cepage.session import cut
 PROPORTIONS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
 
-def merge_components(ledger: DataFrame, links: DataFrame, in_one_task: int = 500_000) -> DataFrame:
-    """(node, component) of all nodes of ``ledger`` (node, component) and ``links`` (a, b) after merging the links."""
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    fresh = nodes.join(ledger, "node", "left_anti").select("node", F.col("node").alias("component"))
-    state = ledger.select("node", "component").unionByName(fresh)
-    name = lambda end: state.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    between = links.where("a <> b").join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    moved = merged_names(between, in_one_task).select(F.col("node").alias("component"), "root")
+def merge_components(ledger: DataFrame | None, links: DataFrame, in_one_task: int = 500_000, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all nodes of ``ledger`` (node, component), ``links`` (a, b) and ``nodes`` after merging the links.
+
+    A node that the ledger lacks begins as a component of its own name.
+    """
+    if nodes is None:
+        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    between = links.where("a <> b")
+    if ledger is not None:
+        for end in ("a", "b"):
+            known = ledger.select(F.col("node").alias(end), F.col("component").alias("__c"))
+            between = between.join(known, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
+        nodes = nodes.join(ledger, "node", "left_anti")
+    state = nodes.select("node", F.col("node").alias("component"))
+    if ledger is not None:
+        state = ledger.select("node", "component").unionByName(state)
+    moved = merged_names(between.select("a", "b"), in_one_task).select(F.col("node").alias("component"), "root")
     return state.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
@@ -55,10 +64,9 @@ def component_records(records: DataFrame, record: str, keys: list[str], class_na
     rows = rows.withColumn("nodes", F.when(F.size("nodes") > 0, F.col("nodes")).otherwise(F.array(F.concat(F.lit("record:"), F.col("id").cast("string")))))
     rows = cut(rows.groupBy("id").agg(F.min(F.struct("nodes", "class_name")).alias("x"), F.min("split").alias("split")).select("id", "x.*", "split"))
     first = F.element_at("nodes", 1)
-    links = cut(rows.select(first.alias("a"), F.explode("nodes").alias("b")).distinct())
-    known = ledger if ledger is not None else rows.sparkSession.createDataFrame([], "node string, component string")
-    nodes = merge_components(known.select("node", "component"), links)
-    nodes = cut(nodes)
+    links = rows.where(F.size("nodes") > 1).select(first.alias("a"), F.explode(F.slice("nodes", 2, len(keys))).alias("b")).distinct()
+    seen = rows.select(F.explode("nodes").alias("node")).distinct()
+    nodes = cut(merge_components(ledger if ledger is None else ledger.select("node", "component"), links, nodes=seen))
     counted = cut(rows.groupBy(first.alias("node")).agg(F.count("*").alias("n")).join(nodes, "node"))
     joined = skewed_lookup(rows.withColumn("node", first), counted, "node", "n").select("id", "component", "class_name", "split")
     return joined, nodes
@@ -109,7 +117,7 @@ def assign_splits(records: DataFrame, record: str, keys: list[str], class_name:
     judged = cut(judge_components(rows, nodes, ledger))
     counts = cut(rows.groupBy("component", "class_name").agg(F.count("*").alias("k")).join(judged, "component"))
     kept = counts.where("status = 'kept'").groupBy("class_name", F.element_at("earlier", 1).alias("s")).agg(F.sum("k").alias("k")).collect()
-    free_counts = cut(counts.where("status in ('new', 'torn')"))
+    free_counts = counts.where("status in ('new', 'torn')")
     free_rows = free_counts.groupBy("class_name").agg(F.sum("k").alias("k")).limit(max_classes + 1).collect()
     free = {r[0]: r[1] for r in free_rows}
     if len(free) > max_classes:
