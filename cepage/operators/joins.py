@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cepage.functions import scalars as S
+from cepage.session import cut
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,12 +77,16 @@ def ordered_pairs(df: DataFrame, keys: list[str], order: str, fields: list[str])
     return a.join(b, keys).where(F.col(f"{order}_a") < F.col(f"{order}_b"))
 
 
-def _stretches(most: int) -> tuple[list[tuple[int, int]], int]:
-    """(first and last bit of the stretches that 64 bits are cut into, bits that may differ in one): at ``most`` wrong
-    bits in all, some stretch has no more than its share."""
+def _stretches(most: int) -> list[tuple[int, int, int]]:
+    """(first bit, end, bits that may differ) of the stretches that 64 bits are cut into.
+
+    Allowed bits plus one add up to ``most`` + 1 over all stretches, so that at ``most`` wrong bits in all some stretch
+    has no more than its own.
+    """
     parts = min(4, most + 1)
     ends = [64 * k // parts for k in range(parts + 1)]
-    return list(zip(ends, ends[1:], strict=False)), most // parts
+    base, extra = divmod(most + 1, parts)
+    return [(a, b, base - 1 + (k < extra)) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
 
 
 def _flips(bits: int, errors: int) -> list[int]:
@@ -92,27 +97,28 @@ def _flips(bits: int, errors: int) -> list[int]:
 def close_hashes(hashes: DataFrame, most: int, hot_rows: int = 100_000) -> DataFrame:
     """(ha, hb) of distinct hashes (column h, bigint), ha < hb, that differ in at most ``most`` bits (up to 11).
 
-    A hash is cut into four stretches (fewer for fewer wrong bits), one of which differs in a quarter of the bits at
-    most. Values of stretches with every such change are offered once, and met by the values as they are; the pair is
+    A hash is cut into four stretches (fewer for fewer wrong bits), one of which differs in no more than its share of
+    the bits. Values of stretches with every such change are offered once, and met by the values as they are; the pair is
     kept by the first stretch that is good enough, so no two tasks give it twice. Values that more than ``hot_rows``
     hashes have are salted.
     """
     if not 0 <= most <= 11:
         raise ValueError("hashes may differ in 0 to 11 bits")
-    cuts, errors = _stretches(most)
+    cuts = _stretches(most)
     part = lambda h, k: F.shiftrightunsigned(h, cuts[k][0]).bitwiseAND(F.lit((1 << (cuts[k][1] - cuts[k][0])) - 1)) if len(cuts) > 1 else h
-    rows = hashes.where(F.col("h").isNotNull()).select("h").distinct()
+    rows = cut(hashes.where(F.col("h").isNotNull()).select("h").distinct())
     values = rows.select("h", F.inline(F.array(*(F.struct(F.lit(k).alias("no"), part(F.col("h"), k).alias("bits")) for k in range(len(cuts))))))
     hot = F.broadcast(values.groupBy("no", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("no", "bits", F.ceil(F.col("n") / hot_rows).cast("int").alias("ways")))
     ways = F.coalesce("ways", F.lit(1))
     asked = values.join(hot, ["no", "bits"], "left").select("no", "bits", F.col("h").alias("ha"), F.pmod(F.xxhash64("h"), ways).cast("int").alias("salt"))
-    changed = values.select("no", "h", F.explode(F.array(*(F.col("bits").bitwiseXOR(F.lit(m).cast("bigint")) for m in _flips(cuts[0][1], errors)))).alias("bits"))
+    masks = F.array(*(F.array(*(F.lit(m).cast("bigint") for m in _flips(b - a, e))) for a, b, e in cuts))
+    changed = values.select("no", "h", "bits", F.explode(F.get(masks, F.col("no"))).alias("mask")).select("no", "h", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
     offered = changed.join(hot, ["no", "bits"], "left").select("no", "bits", F.col("h").alias("hb"), F.explode(F.sequence(F.lit(0), ways - 1)).alias("salt"))
     x = F.col("ha").bitwiseXOR(F.col("hb"))
     close = asked.join(offered, ["no", "bits", "salt"]).where((F.col("ha") < F.col("hb")) & (F.bit_count(x) <= most))
     first = F.lit(len(cuts))
     for k in range(len(cuts) - 1, -1, -1):
-        first = F.when(F.bit_count(part(x, k)) <= errors, k).otherwise(first)
+        first = F.when(F.bit_count(part(x, k)) <= cuts[k][2], k).otherwise(first)
     return close.where(first == F.col("no")).select("ha", "hb")
 
 
@@ -122,6 +128,7 @@ def hamming_pairs(df: DataFrame, key: str, hashes: dict[str, int], hot_rows: int
     Hashes are compared once each, then their keys are looked up; keys of a hash that many share are salted. Distances
     are null where a side has no hash; ``triggered_by`` names the hashes that are close.
     """
+    df = cut(df.select(key, *hashes))
     found = []
     for name, most in hashes.items():
         rows = df.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key), F.col(name).alias("h"))
