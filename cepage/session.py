@@ -148,9 +148,13 @@ class Kept:
         return self.spark.read.parquet(*(f"{self.path}/{v}" for v in versions)) if versions else None
 
     def append(self, df: DataFrame) -> None:
-        """Add rows as a version of their own; what is there is neither read nor written again."""
+        """Add rows as a version of their own; what is there is neither read nor written again. No rows leave no version,
+        unless it is the first."""
         versions = self._versions()
-        df.write.parquet(f"{self.path}/{versions[-1] + 1 if versions else 0}")
+        path = f"{self.path}/{versions[-1] + 1 if versions else 0}"
+        df.write.parquet(path)
+        if versions and self.spark.read.parquet(path).isEmpty():
+            remove_path(self.spark, path)
 
     def write(self, df: DataFrame) -> None:
         """Write the next version, then drop those before the one it was made from."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cepage.functions import normalise as N
 from cepage.operators import compaction as K
 from cepage.operators import orphans as O
+from cepage.session import Kept, remove_path
 
 U = "3f2504e0-4f89-41d3-9a0c-0305e82c3301"
 
@@ -150,3 +151,13 @@ def test_digest_tells_lost_and_doubled_rows(spark):
     assert K.row_digest(df, ["id"]) == K.row_digest(df.repartition(7), ["id"])
     assert K.row_digest(df, ["id"]) != K.row_digest(df.where("id > 0"), ["id"])
     assert K.row_digest(df, ["id"]) != K.row_digest(df.union(spark.range(1)), ["id"])
+
+
+def test_kept_tables_grow_by_what_is_new(spark, tmp_path):
+    kept = Kept(spark, "grows", str(tmp_path))
+    assert kept.read() is None and kept.read_all() is None
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    for rows in (df.limit(0), df.limit(1), df.limit(0), df):
+        kept.append(rows)
+    assert len(kept._versions()) == 3 and sorted(r["k"] for r in kept.read_all().collect()) == [1, 1, 2]
+    remove_path(spark, kept.path)
