@@ -63,6 +63,7 @@ def _where(mask: pa.Array, values: pa.Array, change) -> pa.Array:
 
 def prose_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(lines of running prose, the text each is of): without tags, logs, tables, records, bare lists and quoted mail."""
+    texts = texts.cast(pa.string())
     texts = _where(pc.match_substring(texts, "<"), texts, lambda t: pc.replace_substring_regex(t, TAGS, " "))
     wide = pc.not_equal(pc.binary_length(texts), pc.utf8_length(texts).cast(pa.int32()))
     texts = _where(wide, texts, lambda t: pc.replace_substring_regex(t, UNSEEN, ""))
@@ -210,7 +211,7 @@ def _covered(words: pa.Array, table: np.ndarray):
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
                 lists, counts = batch.column("words"), batch.column("counts").flatten().to_numpy()
-                found = pc.index_in(lists.flatten(), value_set=words)
+                found = pc.index_in(lists.flatten().cast(pa.string()), value_set=words)
                 at = found.fill_null(len(words)).to_numpy(zero_copy_only=False).astype(np.int64)
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
                 totals = batch.column("n").to_numpy()
@@ -353,7 +354,7 @@ def coverage_ranks(documents: DataFrame, key: str = "doc_id", text: str = "text"
         words, ranks = sent.value
         for batch in batches:
             lists, counts = batch.column("words"), batch.column("counts").flatten().to_numpy()
-            rank = ranks[pc.index_in(lists.flatten(), value_set=words).fill_null(len(words)).to_numpy(zero_copy_only=False)]
+            rank = ranks[pc.index_in(lists.flatten().cast(pa.string()), value_set=words).fill_null(len(words)).to_numpy(zero_copy_only=False)]
             doc, known = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), rank > 0
             covered = weighted_coverage(doc[known], rank[known], counts[known], batch.column("n").to_numpy(), (share,))
             yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("n"), pa.array(covered[0])], ["__key", "n", "r"])
