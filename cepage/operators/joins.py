@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cepage.functions import scalars as S
-from cepage.session import cut
+from cepage.functions.bits import by_bucket, flip_masks, ranges
+from cepage.session import cut, parallelism
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,77 +80,191 @@ def ordered_pairs(df: DataFrame, keys: list[str], order: str, fields: list[str])
     return a.join(b, keys).where(F.col(f"{order}_a") < F.col(f"{order}_b"))
 
 
-def _stretches(most: int) -> list[tuple[int, int, int]]:
-    """(first bit, end, bits that may differ) of the stretches that 64 bits are cut into.
+#: Seconds that a copy in the shuffle, a probe and a candidate take; only their ratios matter.
+COPY_S, PROBE_S, CANDIDATE_S = 1.5e-6, 8e-8, 1.2e-8
+#: Bits of a bucket beside its number of stretch and piece: a value of the piece (folded where it is longer), the numbers of two blocks.
+VALUE_BITS, BLOCK_BITS = 20, 16
+#: Rows of a bucket that a task holds at once, however many hashes there are.
+BUCKET_ROWS = 1_000_000
+
+
+def _stretches(most: int, parts: int) -> list[tuple[int, int, int]]:
+    """(first bit, end, bits that may differ) of the ``parts`` stretches that 64 bits are cut into.
 
     Allowed bits plus one add up to ``most`` + 1 over all stretches, so that at ``most`` wrong bits in all some stretch
     has no more than its own.
     """
-    parts = min(4, most + 1)
     ends = [64 * k // parts for k in range(parts + 1)]
     base, extra = divmod(most + 1, parts)
     return [(a, b, base - 1 + (k < extra)) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
 
 
-def _flips(bits: int, errors: int) -> list[int]:
-    """Numbers of ``bits`` bits with at most ``errors`` of them set."""
-    return [sum(1 << k for k in c) for e in range(errors + 1) for c in combinations(range(bits), e)]
+def _pieces(a: int, b: int, errors: int) -> list[tuple[int, int]]:
+    """A stretch in ``errors`` + 1 pieces, one of which is equal where at most ``errors`` bits differ."""
+    ends = [a + (b - a) * k // (errors + 1) for k in range(errors + 2)]
+    return list(zip(ends, ends[1:], strict=False))
 
 
-def close_hashes(hashes: DataFrame, most: int, hot_rows: int = 100_000) -> DataFrame:
-    """(ha, hb) of distinct hashes (column h, bigint), ha < hb, that differ in at most ``most`` bits (up to 11).
+def _cheapest(most: int, rows: int) -> int:
+    """Number of stretches for ``rows`` distinct hashes: fewer and longer ones have more probes, and fewer candidates."""
+
+    def cost(parts: int) -> float:
+        per_row = 0.0
+        for a, b, errors in _stretches(most, parts):
+            near = lambda bits, e=errors: sum(math.comb(bits, k) for k in range(e + 1))
+            per_row += sum(COPY_S + near(b - a - (y - x)) * PROBE_S for x, y in _pieces(a, b, errors)) + rows / 2 * near(b - a) / 2 ** (b - a) * CANDIDATE_S
+        return per_row
+
+    return min(range(2, most + 2), key=cost)
+
+
+def _mask(a: int, b: int) -> np.uint64:
+    return np.uint64(((1 << (b - a)) - 1) << a)
+
 
-    A hash is cut into four stretches (fewer for fewer wrong bits), one of which differs in no more than its share of
-    the bits. Values of stretches with every such change are offered once, and met by the values as they are; the pair is
-    kept by the first stretch that is good enough, so no two tasks give it twice. Values that more than ``hot_rows``
-    hashes have are salted.
+def _search(places: list[tuple[int, list, int, int, int]], chunk: int = 200_000, block: int = 1_000_000):
+    """A mapInArrow function: hashes sorted by bucket to the close pairs that belong to the bucket.
+
+    places: by number of stretch and piece, the kind of hash, its stretches, the most bits that may differ, and which
+    stretch and piece it is. A pair belongs to the first stretch that is good enough, and there to the first equal piece.
+    """
+
+    def pairs_of(place: tuple[int, list, int, int, int], bucket: np.ndarray, g: np.ndarray, salt: np.ndarray):
+        _, cuts, most, k, p = place
+        a, b, errors = cuts[k]
+        pieces = _pieces(a, b, errors)
+        width, own = np.uint64(b - a), _mask(*pieces[p])
+        _, dense = np.unique(bucket, return_inverse=True)
+        key = (dense.astype(np.uint64) << width) | ((g >> np.uint64(a)) & _mask(0, b - a))
+        order = np.argsort(key, kind="stable")
+        key, g, salt, bucket = key[order], g[order], salt[order], bucket[order]
+        crossed = (bucket >> BLOCK_BITS) & ((1 << BLOCK_BITS) - 1) != bucket & ((1 << BLOCK_BITS) - 1)
+        before, after = pieces[p][0] - a, pieces[p][1] - a
+        for flips in flip_masks(int(width) - (after - before), errors):
+            # The bits of the piece itself are equal: flips are laid around it.
+            flip = (flips & _mask(0, before)) | ((flips >> np.uint64(before)) << np.uint64(after))
+            if flip:
+                wanted = key ^ flip
+                up = np.flatnonzero(wanted > key)
+                left, right = np.searchsorted(key, wanted[up], "left"), np.searchsorted(key, wanted[up], "right")
+            else:
+                up = np.arange(len(key))
+                left, right = up + 1, np.searchsorted(key, key, "right")
+            for n, j in ranges(left, right, block):
+                i = up[n]
+                x = g[i] ^ g[j]
+                ok = np.bitwise_count(x) <= most
+                ok &= ~crossed[i] | (salt[i] != salt[j])
+                i, j, x = i[ok], j[ok], x[ok]
+                keep = (x & own) == 0
+                for f, t, e in cuts[:k]:
+                    keep &= np.bitwise_count(x & _mask(f, t)) > e
+                for f, t in pieces[:p]:
+                    keep &= (x & _mask(f, t)) != 0
+                if keep.any():
+                    yield g[i[keep]].view(np.int64), g[j[keep]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_bucket(batches, "bucket", chunk):
+            bucket, g, salt = table.column("bucket").to_numpy(), table.column("h").to_numpy().view(np.uint64), table.column("salt").to_numpy()
+            numbers = bucket >> (VALUE_BITS + 2 * BLOCK_BITS)
+            for number in np.unique(numbers):
+                at, place = numbers == number, places[number]
+                for a, b in pairs_of(place, bucket[at], g[at], salt[at]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), place[0], np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["no", "ha", "hb"])
+
+    return run
+
+
+def _close_classes(classes: DataFrame, most: list[int], rows: dict[int, int], max_bucket: int, parts: int | None = None) -> DataFrame:
+    """(no, ha, hb) of classes (no, h), distinct, whose hashes differ in at most most[no] bits, ha < hb; ``rows`` are the classes of each kind.
+
+    A hash goes to a bucket for each piece of each stretch, ``most`` + 1 in all; changed values are looked up there, in
+    sorted arrays, and never shuffled. Buckets above ``max_bucket`` rows, or four times what even hashes make (up to
+    ``BUCKET_ROWS``), are split into blocks, each pair of blocks a bucket.
     """
-    if not 0 <= most <= 11:
+    if not all(0 <= m <= 11 for m in most):
         raise ValueError("hashes may differ in 0 to 11 bits")
-    cuts = _stretches(most)
-    part = lambda h, k: F.shiftrightunsigned(h, cuts[k][0]).bitwiseAND(F.lit((1 << (cuts[k][1] - cuts[k][0])) - 1)) if len(cuts) > 1 else h
-    rows = cut(hashes.where(F.col("h").isNotNull()).select("h").distinct())
-    values = rows.select("h", F.inline(F.array(*(F.struct(F.lit(k).alias("no"), part(F.col("h"), k).alias("bits")) for k in range(len(cuts))))))
-    hot = F.broadcast(values.groupBy("no", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("no", "bits", F.ceil(F.col("n") / hot_rows).cast("int").alias("ways")))
-    ways = F.coalesce("ways", F.lit(1))
-    asked = values.join(hot, ["no", "bits"], "left").select("no", "bits", F.col("h").alias("ha"), F.pmod(F.xxhash64("h"), ways).cast("int").alias("salt"))
-    masks = F.array(*(F.array(*(F.lit(m).cast("bigint") for m in _flips(b - a, e))) for a, b, e in cuts))
-    changed = values.select("no", "h", "bits", F.explode(F.get(masks, F.col("no"))).alias("mask")).select("no", "h", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits"))
-    offered = changed.join(hot, ["no", "bits"], "left").select("no", "bits", F.col("h").alias("hb"), F.explode(F.sequence(F.lit(0), ways - 1)).alias("salt"))
-    x = F.col("ha").bitwiseXOR(F.col("hb"))
-    close = asked.join(offered, ["no", "bits", "salt"]).where((F.col("ha") < F.col("hb")) & (F.bit_count(x) <= most))
-    first = F.lit(len(cuts))
-    for k in range(len(cuts) - 1, -1, -1):
-        first = F.when(F.bit_count(part(x, k)) <= cuts[k][2], k).otherwise(first)
-    return close.where(first == F.col("no")).select("ha", "hb")
-
-
-def hamming_pairs(df: DataFrame, key: str, hashes: dict[str, int], hot_rows: int = 100_000) -> DataFrame:
+    places, limits, buckets = [], [], F.lit(None).cast("array<bigint>")
+    for no, m in enumerate(most):
+        # Distinct hashes are never equal, so there is nothing to find within 0 bits.
+        cuts = _stretches(m, parts or _cheapest(m, rows.get(no, 0))) if m else []
+        values = []
+        for k, (a, b, errors) in enumerate(cuts):
+            for p, (x, y) in enumerate(_pieces(a, b, errors)):
+                value = F.shiftrightunsigned("h", x).bitwiseAND(F.lit((1 << (y - x)) - 1))
+                if y - x > VALUE_BITS:
+                    value = value.bitwiseXOR(F.shiftrightunsigned(value, VALUE_BITS)).bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
+                values.append(F.lit(len(places) << VALUE_BITS).cast("bigint").bitwiseOR(value.cast("bigint")))
+                places.append((no, cuts, m, k, p))
+                limits.append(max(max_bucket, min(BUCKET_ROWS, 4 * rows.get(no, 0) >> min(y - x, VALUE_BITS))))
+        if values:
+            buckets = F.when(F.col("no") == no, F.array(*values)).otherwise(buckets)
+    copies = classes.select("h", F.explode(buckets).alias("bucket"))
+    hot = []
+    if max(rows.values(), default=0) > max_bucket:
+        limit = F.get(F.array(*map(F.lit, limits)), F.shiftright("bucket", VALUE_BITS).cast("int"))
+        hot = copies.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
+    if hot:
+        ways = {r["bucket"]: math.ceil(r["n"] / limits[r["bucket"] >> VALUE_BITS]) for r in hot}
+        if max(ways.values()) >= 1 << BLOCK_BITS:
+            raise ValueError(f"max_bucket = {max_bucket} is too small for these hashes")
+        split = F.broadcast(classes.sparkSession.createDataFrame(list(ways.items()), "bucket bigint, ways int"))
+        copies = copies.join(split, "bucket", "left").withColumn("ways", F.coalesce("ways", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("h"), F.col("ways")).cast("int"))
+        copies = copies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+        blocks = F.shiftleft(F.least("salt", "other").cast("bigint"), BLOCK_BITS).bitwiseOR(F.greatest("salt", "other").cast("bigint"))
+    else:
+        copies, blocks = copies.withColumn("salt", F.lit(0)), F.lit(0).cast("bigint")
+    copies = copies.select(F.shiftleft("bucket", 2 * BLOCK_BITS).bitwiseOR(blocks).alias("bucket"), "h", "salt")
+    copies = copies.repartition(parallelism(classes.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return copies.mapInArrow(_search(places), "no int, ha bigint, hb bigint")
+
+
+def close_hashes(hashes: DataFrame, most: int, max_bucket: int = 100_000, parts: int | None = None) -> DataFrame:
+    """(ha, hb) of distinct hashes (column h, bigint), ha < hb, that differ in at most ``most`` bits (up to 11).
+
+    A hash is cut into stretches, ``parts`` or as many as are cheapest for their number, one of which differs in no more
+    than its share of the bits.
+    """
+    classes = cut(hashes.where(F.col("h").isNotNull()).select(F.lit(0).alias("no"), "h").distinct())
+    return _close_classes(classes, [most], {0: classes.count()}, max_bucket, parts).select("ha", "hb")
+
+
+def hamming_pairs(df: DataFrame, key: str, hashes: dict[str, int], hot_rows: int = 100_000, max_bucket: int = 100_000) -> DataFrame:
     """Pairs of keys (a < b) whose hashes (bigint columns, with the most bits that may differ) are close by any.
 
-    Hashes are compared once each, then their keys are looked up; keys of a hash that many share are salted. Distances
-    are null where a side has no hash; ``triggered_by`` names the hashes that are close.
+    Hashes are compared once each, all kinds in one search, then their rows are looked up; rows of a hash that more than
+    ``hot_rows`` share are salted. Distances are null where a side has no hash; a key of several rows has the least of
+    those found. ``triggered_by`` names the hashes that are close.
     """
-    df = cut(df.select(key, *hashes))
-    found = []
-    for name, most in hashes.items():
-        rows = df.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key), F.col(name).alias("h"))
-        same = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
-        pairs = close_hashes(rows.select("h"), most, hot_rows).unionByName(same)
-        hot = F.broadcast(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("h", F.ceil(F.col("n") / hot_rows).cast("int").alias("ways")))
-        ways = F.coalesce("ways", F.lit(1))
-        for end in ("a", "b"):
-            here = hot.withColumnRenamed("h", f"h{end}")
-            side = rows.select(F.col(key).alias(end), F.col("h").alias(f"h{end}")).join(here, f"h{end}", "left").withColumn("salt", F.pmod(F.xxhash64(end), ways).cast("int")).drop("ways")
-            pairs = pairs.join(here, f"h{end}", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways").join(side, [f"h{end}", "salt"]).drop("salt")
-        ordered = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found.append(ordered)
-    pairs = reduce(DataFrame.union, found).distinct()
-    side = lambda end: df.select(F.col(key).alias(end), *(F.col(h).alias(f"{h}_{end}") for h in hashes)).dropDuplicates([end])
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    distance = {h: S.hamming(F.col(f"{h}_a"), F.col(f"{h}_b")) for h in hashes}
-    near = F.array_join(F.array_compact(F.array(*(F.when(distance[h] <= most, h) for h, most in hashes.items()))), "+")
-    return joined.select("a", "b", *(d.alias(f"{h}_distance") for h, d in distance.items()), near.alias("triggered_by"))
+    fields = [f"h{k}" for k in range(len(hashes))]
+    rows = cut(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(F.col(h).alias(f) for h, f in zip(hashes, fields, strict=True))))
+    kinds = F.array(*(F.struct(F.lit(k).alias("no"), F.col(f).alias("h")) for k, f in enumerate(fields)))
+    members = rows.select(F.inline(kinds), "key", *fields).where(F.col("h").isNotNull())
+    classes = cut(members.groupBy("no", "h").agg(F.count("*").alias("n")))
+    counts = classes.groupBy("no").agg(F.count("*").alias("classes"), F.max("n").alias("n")).collect()
+    pairs = _close_classes(classes, list(hashes.values()), {r["no"]: r["classes"] for r in counts}, max_bucket)
+    pairs = pairs.unionByName(classes.where("n > 1").select("no", F.col("h").alias("ha"), F.col("h").alias("hb")))
+    salted = any(r["n"] > hot_rows for r in counts)
+    hot = classes.where(F.col("n") > hot_rows).select("no", "h", F.ceil(F.col("n") / hot_rows).cast("int").alias("ways"))
+    for end in ("a", "b"):
+        on = ["no", f"h{end}"]
+        side = members.select("no", F.col("h").alias(f"h{end}"), F.col("key").alias(end), *(F.col(f).alias(f"{f}_{end}") for f in fields))
+        if salted:
+            here, ways = F.broadcast(hot.withColumnRenamed("h", f"h{end}")), F.coalesce("ways", F.lit(1))
+            side = side.join(here, on, "left").withColumn("salt", F.pmod(F.xxhash64(end), ways).cast("int")).drop("ways")
+            pairs = pairs.join(here, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways")
+            on.append("salt")
+        pairs = pairs.join(side, on)
+        if salted:
+            pairs = pairs.drop("salt")
+    distances = [f"{h}_distance" for h in hashes]
+    # A class paired with itself gives each pair of its rows twice.
+    found = pairs.where((F.col("a") < F.col("b")) | (F.col("ha") != F.col("hb")) & (F.col("a") > F.col("b")))
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(S.hamming(F.col(f"{f}_a"), F.col(f"{f}_b")).alias(d) for f, d in zip(fields, distances, strict=True)))
+    found = found.groupBy("a", "b").agg(*(F.min(d).alias(d) for d in distances))
+    near = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"{h}_distance") <= most, h) for h, most in hashes.items()))), "+")
+    return found.select("a", "b", *distances, near.alias("triggered_by"))
 
 
 def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[str], value: str, missing: str) -> DataFrame:

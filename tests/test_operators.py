@@ -231,6 +231,35 @@ def test_close_hashes_of_any_distance(spark, most):
         J.close_hashes(spark.createDataFrame([], "h bigint"), 12)
 
 
+@pytest.mark.parametrize(("most", "parts", "max_bucket"), [(1, 2, 3), (4, 2, 1000), (4, 3, 2), (6, 3, 1000), (6, 4, 4), (6, 7, 10), (11, 4, 1000), (11, 12, 20)])
+def test_close_hashes_by_any_stretches_and_blocks(spark, most, parts, max_bucket):
+    rng = random.Random(parts)
+    base = [rng.getrandbits(64) for _ in range(25)] + [rng.getrandbits(9) << 50 for _ in range(12)]
+    hs = {h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, most + 2))) for h in base for _ in range(4)} | {0, 2**64 - 1, 2**63}
+    signed = [h - 2**64 if h >> 63 else h for h in hs]
+    got = [tuple(r) for r in J.close_hashes(spark.createDataFrame([(h,) for h in signed], "h bigint"), most, max_bucket, parts).collect()]
+    want = {(min(a, b), max(a, b)) for a, b in combinations(signed, 2) if ((a ^ b) % 2**64).bit_count() <= most}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hamming_join_has_a_small_plan_and_few_copies(spark):
+    df = spark.range(40).selectExpr("cast(id as string) id", "id * 7 dhash", "id * 11 phash")
+    plan = J.hamming_pairs(df, "id", {"dhash": 4, "phash": 6})._jdf.queryExecution().executedPlan().toString()
+    # The driver plans, compiles and reports each exchange; the text of this plan named 37.
+    assert plan.count("Exchange") <= 8
+    # Five and seven copies of a hash are shuffled, not one per changed value.
+    for most in range(1, 12):
+        for rows in (10, 300_000, 10**8):
+            cuts = J._stretches(most, J._cheapest(most, rows))
+            assert sum(len(J._pieces(*c)) for c in cuts) == most + 1 and cuts[0][0] == 0 and cuts[-1][1] == 64 and max(b - a for a, b, _ in cuts) <= 32
+
+
+def test_hamming_join_of_repeated_keys(spark):
+    rows = [("a", 0, 255), ("a", 1, 0), ("b", 3, None), ("b", 3, None), ("c", 15 << 20, 0), (None, 0, 0)]
+    got = sorted(tuple(r) for r in J.hamming_pairs(spark.createDataFrame(rows, "id string, dhash bigint, phash bigint"), "id", {"dhash": 4, "phash": 6}).collect())
+    assert got == [("a", "b", 1, None, "dhash"), ("a", "c", 4, 0, "dhash+phash")]
+
+
 @pytest.mark.parametrize("in_one_task", [0, 15, 1000])
 def test_components_of_chains_and_singletons(spark, in_one_task):
     nodes = spark.createDataFrame([(f"n{k:02d}",) for k in range(40)] + [(None,)], "node string")
